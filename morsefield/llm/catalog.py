@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .quality_rules import op2_quality_rules
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
 }
 ORACLES = {
