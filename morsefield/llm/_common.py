@@ -37,6 +37,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a written table of a few numbers or short strings a row is broadcast: some tens of MB at most.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """df (a written table, so that counting is cheap), to be broadcast if it has few rows; else joined by shuffling."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def lower_az(text: Column) -> Column:
     """A-Z only. For pure ASCII the built-in lower() does the same at a fraction of the cost."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

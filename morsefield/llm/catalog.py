@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .licenses import op4_license_scan
+from .mixing import OP8_SQL, op8_mix_sources
 from .packing import op3_best_fit_packing
 from .quality_rules import op2_quality_rules
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_license_scan": op4_license_scan,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_mix_sources": op8_mix_sources,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES = {
     "op7_exact_dedup": OP7_SQL,
+    "op8_mix_sources": OP8_SQL,
     "op10_line_dedup": OP10_SQL,
 }
