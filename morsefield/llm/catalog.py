@@ -6,6 +6,7 @@ from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .licenses import op4_license_scan
 from .mixing import OP8_SQL, op8_mix_sources
+from .near_dedup import op6_minhash_near_dedup
 from .packing import op3_best_fit_packing
 from .quality_rules import op2_quality_rules
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_license_scan": op4_license_scan,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mix_sources": op8_mix_sources,
     "op10_line_dedup": op10_line_dedup,

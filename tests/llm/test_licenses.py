@@ -21,7 +21,7 @@ def scan(source, text):
 def test_regions():
     t = "grant [[of rights]] to {{2}} and {{sell|lease out}} it"
     assert scan(t, "Grant to you and sell it") == [(0, 6)]
-    assert scan(t, "x grant of rights to all of and lease out it") == [(1, 10)]
+    assert scan(t, "x grant of rights to all of and lease out it") == [(1, 11)]
     assert scan(t, "grant of to you and sell it") == []
     assert scan(t, "grant to a b c and sell it") == []
     assert scan(t, "grant to and sell it grant to and sell it") == [(0, 5), (5, 10)]
