@@ -9,11 +9,13 @@ from .mixing import OP8_SQL, op8_mix_sources
 from .near_dedup import op6_minhash_near_dedup
 from .packing import op3_best_fit_packing
 from .quality_rules import op2_quality_rules
+from .repeats import op5_suffix_array_dedup
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_license_scan": op4_license_scan,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_mix_sources": op8_mix_sources,
