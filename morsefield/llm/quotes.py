@@ -93,10 +93,9 @@ def paths(links: DataFrame) -> DataFrame:
     """(conv_id, turn, top, path): path holds the turns from below ``top`` down to turn; top itself has no parent."""
     state = links.select("conv_id", "turn", F.col("parent").alias("top"), F.array("turn").alias("path"))
     while True:
-        up = state.select("conv_id", F.col("turn").alias("_t"), F.col("top").alias("_top"), F.col("path").alias("_path"))
-        on = (state["conv_id"] == up["conv_id"]) & (state["top"] == up["_t"])
-        both = state.join(up, on, "left").select(
-            state["conv_id"], "turn", F.coalesce("_top", "top").alias("top"), F.when(F.col("_t").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path"), F.col("_t").isNotNull().alias("moved")
+        up = state.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("top").alias("_top"), F.col("path").alias("_path"))
+        both = state.join(up, (F.col("conv_id") == F.col("_c")) & (F.col("top") == F.col("_t")), "left").select(
+            "conv_id", "turn", F.coalesce("_top", "top").alias("top"), F.when(F.col("_t").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path"), F.col("_t").isNotNull().alias("moved")
         )
         both = cut(both, "paths")
         state = both.drop("moved")
