@@ -1 +1 @@
-"""Topological analytics on Spark DataFrames."""
+"""Topological analytics on Spark DataFrames: operators, sources, functions, query plans and streams."""

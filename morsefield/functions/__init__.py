@@ -1 +1 @@
-"""Topological analytics on Spark DataFrames."""
+"""Column functions and parameter checks."""

@@ -1 +1 @@
-"""Topological analytics on Spark DataFrames."""
+"""Named queries."""

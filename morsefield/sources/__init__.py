@@ -1 +1 @@
-"""Topological analytics on Spark DataFrames."""
+"""Tables as clouds, images, series and diagrams; readers, writers and input checks."""

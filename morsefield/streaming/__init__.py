@@ -1 +1 @@
-"""Topological analytics on Spark DataFrames."""
+"""Structured Streaming versions of the window operators."""
