@@ -188,7 +188,8 @@ def vectors(dgm: DataFrame, metric: str, *, fit: DataFrame | None = None, n_bins
         elif metric == "landscape":
             tops = _bins(n_bins, lambda t: F.sort_array(F.transform("pts", lambda p: _tent(p, t)), asc=False))
             own = own.withColumn("tops", tops)
-            ys = F.flatten(F.array(*(F.transform("tops", lambda a, k=k: F.coalesce(F.get(a, F.lit(k)), F.lit(0.0))) for k in range(n_layers))))
+            layer = lambda k: F.transform("tops", lambda a: F.coalesce(F.get(a, F.lit(k)), F.lit(0.0)))
+            ys = F.flatten(F.array(*map(layer, range(n_layers))))
         elif metric == "silhouette":
             top = F.array_max(F.transform("pts", lambda p: p["d"] - p["b"]))
             own = own.withColumn("top", F.when(top > 0, top).otherwise(1.0) if power > 8 else F.lit(1.0))
