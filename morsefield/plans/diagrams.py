@@ -99,11 +99,12 @@ for _kind, _re, _im in (
         f"dgm_complex_polynomial_{_kind.lower()}",
         f"k AS (SELECT sample_id, hdim, {_re} AS x, {_im} AS y FROM d WHERE birth <> death),"
         " p AS (SELECT f.sample_id, f.hdim, coalesce(sum(x), 0) AS a, coalesce(sum(y), 0) AS b, coalesce(sum(x * x - y * y), 0) AS c, coalesce(sum(2 * x * y), 0) AS d FROM f LEFT JOIN k USING (sample_id, hdim) GROUP BY ALL)"
-        " SELECT sample_id, hdim, 1::INT AS k, round(-a, 2) + 0.0 AS re, round(-b, 2) + 0.0 AS im FROM p"
-        " UNION ALL SELECT sample_id, hdim, 2::INT, round((a * a - b * b - c) / 2, 2) + 0.0, round((2 * a * b - d) / 2, 2) + 0.0 FROM p",
+        " SELECT sample_id, hdim, 1::INT AS k, round(-a / 1000, 6) + 0.0 AS re, round(-b / 1000, 6) + 0.0 AS im FROM p"
+        " UNION ALL SELECT sample_id, hdim, 2::INT, round((a * a - b * b - c) / 2 / 1e6, 6) + 0.0, round((2 * a * b - d) / 2 / 1e6, 6) + 0.0 FROM p",
     )
     def _(spark, sf, kind=_kind):
-        return dg.complex_polynomial(tables.diagrams(spark, sf), 2, kind).select("sample_id", "hdim", "k", r("re", 2).alias("re"), r("im", 2).alias("im"))
+        unit = F.when(F.col("k") == 1, 1e3).otherwise(1e6)
+        return dg.complex_polynomial(tables.diagrams(spark, sf), 2, kind).select("sample_id", "hdim", "k", r(F.col("re") / unit).alias("re"), r(F.col("im") / unit).alias("im"))
 
 
 N = 12
@@ -227,7 +228,7 @@ TRIANGLES = """c AS (SELECT vec_id // 3 AS sample_id, vec_id % 3 AS i, embedding
 def triangles(spark, sf):
     """H0 diagrams of clouds of three points: the two shorter sides."""
     d = homology.rips(tables.clouds(spark, sf, 3), dimensions=(0,))
-    return dg.finish(d, 1e9).select(F.col("cloud_id").alias("sample_id"), "hdim", "birth", "death")
+    return dg.finish(d.withColumnRenamed("cloud_id", "sample_id"), 1e9)
 
 
 def _matching(cost: str, total: str) -> str:

@@ -1 +1,140 @@
-"""Queries on Mapper covers and graphs."""
+"""Queries on Mapper: customers filtered by balance and nation, and clouds of embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import mapper, plotdata
+from ..sources import tables
+from .clouds_graphs import ORDERED, C, edges_sql
+from .registry import query, r
+
+N, G = 8, 0.3
+
+
+def customers(spark, sf):
+    return tables.table(spark, sf, "customer").select(F.col("c_custkey").alias("point_id"), F.col("c_acctbal").alias("value"), F.col("c_nationkey").cast("double").alias("nation"))
+
+
+def uniform_sql(value: str = "c_acctbal", name: str = "i", n: int = N) -> str:
+    return f"""l_{name} AS (SELECT min({value})::DOUBLE AS a, (max({value}) - min({value}))::DOUBLE / {n - (n - 1) * G!r}::DOUBLE AS size FROM customer),
+ {name} AS (SELECT k::INT AS set_id, CASE WHEN k = 0 THEN '-inf'::DOUBLE ELSE a + k * {1 - G!r}::DOUBLE * size END AS lo, CASE WHEN k = {n - 1} THEN 'inf'::DOUBLE ELSE a + k * {1 - G!r}::DOUBLE * size + size END AS hi FROM l_{name}, range({n}) g(k)),
+ m_{name} AS (SELECT c_custkey AS point_id, set_id FROM customer JOIN {name} ON {value} > lo AND {value} < hi)"""
+
+
+#: Repeated sets go, the first stays; the others are numbered anew.
+PRUNE = """h AS (SELECT set_id, list(point_id ORDER BY point_id) AS members FROM {m} GROUP BY set_id), k AS (SELECT min(set_id) AS set_id FROM h GROUP BY members),
+ w AS (SELECT set_id, (row_number() OVER (ORDER BY set_id) - 1)::INT AS new_id FROM k), cover AS (SELECT point_id, new_id AS set_id FROM {m} JOIN w USING (set_id))"""
+UNIFORM = f"{uniform_sql()}, {PRUNE.format(m='m_i')}"
+
+
+def uniform(spark, sf):
+    return mapper.prune(mapper.cover_1d(customers(spark, sf), N, G))
+
+
+@query("mapper_projection", "SELECT c_custkey AS point_id, c_acctbal AS value FROM customer")
+def _(spark, sf):
+    return mapper.projection(customers(spark, sf), ["value"])
+
+
+@query("mapper_eccentricity", f"WITH {edges_sql(on=ORDERED)} SELECT cloud_id, src AS point_id, round(sqrt(sum(w * w)), 6) + 0.0 AS ecc FROM e GROUP BY ALL")
+def _(spark, sf):
+    return mapper.eccentricity(tables.clouds(spark, sf)).withColumn("ecc", r("ecc"))
+
+
+@query("mapper_eccentricity_inf", f"WITH {edges_sql(on=ORDERED)} SELECT cloud_id, src AS point_id, round(max(w), 6) + 0.0 AS ecc FROM e GROUP BY ALL")
+def _(spark, sf):
+    return mapper.eccentricity(tables.clouds(spark, sf), float("inf")).withColumn("ecc", r("ecc"))
+
+
+@query("mapper_entropy", f"WITH {C}, l AS (SELECT cloud_id, point_id, abs(unnest(x)) AS v FROM c), t AS (SELECT *, v / sum(v) OVER (PARTITION BY cloud_id, point_id) AS p FROM l) SELECT cloud_id, point_id, round(-sum(CASE WHEN p > 0 THEN p * log2(p) ELSE 0 END), 6) + 0.0 AS entropy FROM t GROUP BY ALL")
+def _(spark, sf):
+    return mapper.row_entropy(tables.clouds(spark, sf)).withColumn("entropy", r("entropy"))
+
+
+@query("mapper_cover_intervals", f"WITH {uniform_sql()} SELECT set_id, round(lo, 6) + 0.0 AS lo, round(hi, 6) + 0.0 AS hi FROM i WHERE set_id BETWEEN 1 AND {N - 2}")
+def _(spark, sf):
+    limits = mapper.intervals(customers(spark, sf), N, G).filter(F.col("set_id").between(1, N - 2))  # the outer ends are infinite
+    return limits.select("set_id", r("lo").alias("lo"), r("hi").alias("hi"))
+
+
+@query("mapper_cover_uniform", f"WITH {UNIFORM} SELECT point_id, set_id FROM cover")
+def _(spark, sf):
+    return uniform(spark, sf)
+
+
+@query("mapper_cover_balanced", f"""WITH d AS (SELECT c_custkey AS point_id, (dense_rank() OVER (ORDER BY c_acctbal) - 1)::DOUBLE AS x FROM customer), l AS (SELECT (max(x) + 1) / {N - (N - 1) * G!r}::DOUBLE AS size FROM d),
+ i AS (SELECT k::INT AS set_id, -0.5 + k * {1 - G!r}::DOUBLE * size AS lo, -0.5 + k * {1 - G!r}::DOUBLE * size + size AS hi FROM l, range({N}) g(k)), m AS (SELECT point_id, set_id FROM d JOIN i ON x > lo AND x < hi), {PRUNE.format(m="m")} SELECT point_id, set_id FROM cover""")
+def _(spark, sf):
+    return mapper.prune(mapper.cover_1d(customers(spark, sf), N, G, "balanced"))
+
+
+CUBE = f"{uniform_sql('c_acctbal', 'i', 4)}, {uniform_sql('c_nationkey', 'j', 4)}, m AS (SELECT point_id, a.set_id * 4 + b.set_id AS set_id FROM m_i a JOIN m_j b USING (point_id)), {PRUNE.format(m='m')}"
+
+
+@query("mapper_cover_cubical", f"WITH {CUBE} SELECT point_id, set_id FROM cover")
+def _(spark, sf):
+    return mapper.cubical_cover(customers(spark, sf), ["value", "nation"], 4, G)
+
+
+#: Each pullback set is split by nation.
+REFINED = f"{UNIFORM}, refined AS (SELECT point_id, set_id, (c_nationkey % 3)::INT AS label FROM cover JOIN customer ON c_custkey = point_id)"
+NODES = f"{REFINED}, nodes AS (SELECT (row_number() OVER (ORDER BY min(point_id), set_id, label) - 1)::BIGINT AS node_id, set_id, label, count(*) AS size, min(point_id) AS first FROM refined GROUP BY set_id, label)"
+EDGES = f"{NODES}, mem AS (SELECT node_id, set_id, point_id FROM refined JOIN nodes USING (set_id, label)), edges AS (SELECT a.node_id AS src, b.node_id AS dst, count(*) AS weight FROM mem a JOIN mem b ON a.point_id = b.point_id AND a.node_id < b.node_id AND a.set_id <> b.set_id GROUP BY ALL)"
+
+
+def refined(spark, sf):
+    return mapper.cluster_by(customers(spark, sf), uniform(spark, sf), F.col("nation") % 3)
+
+
+@query("mapper_refined_cover", f"WITH {REFINED} SELECT * FROM refined")
+def _(spark, sf):
+    return refined(spark, sf)
+
+
+@query("mapper_nerve_nodes", f"WITH {NODES} SELECT * FROM nodes")
+def _(spark, sf):
+    return mapper.nerve_nodes(refined(spark, sf))
+
+
+@query("mapper_nerve_edges", f"WITH {EDGES} SELECT * FROM edges WHERE weight >= 5")
+def _(spark, sf):
+    return mapper.nerve_edges(refined(spark, sf), 5)
+
+
+@query("mapper_nerve_contracted")
+def _(spark, sf):
+    return mapper.nerve_contracted(mapper.cluster_by(customers(spark, sf), uniform(spark, sf), F.lit(0)))[1]
+
+
+@query("mapper_node_colors", f"WITH {NODES} SELECT node_id, round(avg(c_acctbal), 4) + 0.0 AS color FROM refined JOIN nodes USING (set_id, label) JOIN customer ON c_custkey = point_id GROUP BY ALL")
+def _(spark, sf):
+    return mapper.node_statistic(refined(spark, sf), customers(spark, sf), "value").withColumn("color", r("color", 4))
+
+
+@query("plot_mapper_graph", f"WITH {NODES}, z AS (SELECT node_id, max(c_acctbal) AS color FROM refined JOIN nodes USING (set_id, label) JOIN customer ON c_custkey = point_id GROUP BY ALL) SELECT node_id, set_id, label, size, round(color / 10.0 ** (floor(log10(abs(color))) - 2)) * 10.0 ** (floor(log10(abs(color))) - 2) AS color FROM nodes JOIN z USING (node_id)")
+def _(spark, sf):
+    own = refined(spark, sf)
+    return plotdata.mapper_graph(mapper.nerve_nodes(own), mapper.node_statistic(own, customers(spark, sf), "value", F.max))
+
+
+def points(spark, sf):
+    return tables.table(spark, sf, "embeddings").select(F.col("vec_id").alias("point_id"), F.col("embedding").cast("array<double>").alias("coords"))
+
+
+def _sets(spark, sf):
+    values = points(spark, sf).select("point_id", F.col("coords")[0].alias("value"))
+    return mapper.prune(mapper.cover_1d(values, 20, 0.2))
+
+
+for _name, _f in (("first_simple_gap", mapper.first_simple_gap), ("first_histogram_gap", mapper.first_histogram_gap), ("dbscan", lambda x: mapper.dbscan(x, 10.0, 3))):
+
+    @query(f"mapper_{_name}")
+    def _(spark, sf, f=_f):
+        return mapper.cluster_sets(points(spark, sf), _sets(spark, sf), f)
+
+
+@query("mapper_graph_dbscan")
+def _(spark, sf):
+    p = mapper.MapperPipeline(n_intervals=4, overlap_frac=0.3, clusterer=lambda x: mapper.dbscan(x, 10.5, 3))
+    return p.fit_transform(points(spark, sf))[1]
