@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER, table
+from ._common import LOWER, UPPER, bounded_batches, table
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _AZ = str.maketrans(UPPER, LOWER)
@@ -194,6 +194,7 @@ def license_report(docs: DataFrame, *, templates: dict[str, str] | None = None,
                 arrays.append(pa.array(own, found))
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *names, *["matches"] * matches])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, plain + extra * matches)
 
 

@@ -33,7 +33,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER, WS, cut, shared_dir, table
+from ._common import LOWER, UPPER, WS, bounded_batches, cut, shared_dir, table
 
 LEAST = 10
 SHARD_KEYS = 200_000
@@ -147,6 +147,7 @@ def build_index(docs: DataFrame, *, least: int = LEAST, shard_keys: int = SHARD_
             k, p = _halves(found)
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(p.view(np.int64))], names=["key", "print"])
 
+    bounded_batches(docs.sparkSession)
     lines = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(hashes, "key long, print long")
     common = lines.groupBy("key", "print").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= least)
     common = cut(common, "lines")
@@ -201,7 +202,7 @@ def probe(base: str, shards: int, least: int, lines: list[list[bytes]]) -> list[
 
 
 #: Bytes of text that a task gathers before it goes over the shards once.
-GATHER = 32 << 20
+GATHER = 8 << 20
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:

@@ -3,18 +3,18 @@
 1. Every text becomes the set of its 5-word shingles (64-bit hashes) and ``HASHES`` minima of multiply-add hashes. Texts
    of the same set are one class, whose smallest doc_id stands for it from here on, so exact copies cost nothing more.
 2. ``BANDS`` bands of ``ROWS`` minima are bucket keys; two sets of similarity 0.85 share none with probability 4e-7.
-3. A bucket's candidates are not all its pairs but each member with two pivots, the member of smallest id and the one of
-   smallest hash: as many pairs as rows. Pairs whose signatures agree too little (5 standard deviations below the
-   threshold) are dropped, and the others are confirmed on the full sets, most similar first; pairs inside a
-   component need no test.
-4. Components follow from confirmed links by alternating large-star and small-star.
+3. A bucket's candidates are not all its pairs: each member outside the bucket's largest component is paired with one
+   pivot inside it, in a few turns with changing pivots, so there are no more pairs than rows. Pairs whose signatures agree
+   too little (5 standard deviations below the threshold) are dropped; of the others the most similar one of each
+   document is confirmed on the full sets.
+4. Components follow from confirmed links by alternating large-star and small-star, after every turn.
 5. What pivots can miss, a link between two members of a bucket that are still in different components, is looked for
-   exhaustively: all members outside a bucket's largest component meet all members in blocks of bounded size, by
-   signature and inside the task; only pairs that pass go on to the full sets. That keeps the result whole.
+   exhaustively: all members outside a bucket's largest component meet all members in blocks, on the full sets and inside
+   the task; only links that join components are handed on. That keeps the result whole.
 
 Defined results. Without words or text a set is empty and linked with nothing; with fewer than five words the
-whole sequence is the only shingle. Rows that repeat a doc_id are one document if their texts agree; otherwise each row is
-judged by its own text. A row without a doc_id is linked with nothing: component_id is null and kept is true. Order
+whole sequence is the only shingle. Rows that repeat a doc_id are one document; if their texts differ, it has the links of
+all of them. A row without a doc_id is linked with nothing: component_id is null and kept is true. Order
 and ties don't matter: a component's id is its smallest doc_id. An empty table gives no rows. Other columns are
 ignored, or handed on unchanged by ``drop_near_copies``.
 """
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, table
+from ._common import bounded_batches, cut, small, table
 from ._shingles import mix, shingle_hashes
 from .components import connected_components
 
@@ -38,6 +38,9 @@ HASHES = BANDS * ROWS
 #: Of HASHES bytes of two signatures that have to agree; 106 are expected at 0.85, with a standard deviation of 4.
 LEAST_AGREEING = 85
 BLOCK = 512
+#: Turns of pairing with pivots, the first one on FIRST_BANDS bands.
+TURNS = 3
+FIRST_BANDS = 4
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(1, 2**63, (HASHES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, (HASHES, 1), dtype=np.uint64)
@@ -74,6 +77,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                 u = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), u(k1), u(k2), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "k1", "k2", "signature"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(work, "doc_id long, n_shingles long, k1 long, k2 long, signature binary")
 
@@ -93,8 +97,12 @@ def _agreeing(pairs: DataFrame, bytes_of: DataFrame) -> DataFrame:
     return pairs.join(mine, "x").join(theirs, "p").select("x", "p", "low_x", "low_p").mapInArrow(work, "x long, p long, same long")
 
 
+#: Pairs or ids up to which they are broadcast (16 bytes each, so 32 MB at most); more are joined by shuffling.
+BROADCAST_PAIRS = 1_000_000
+
+
 def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, k1, k2, shingles): the full sets of the documents in ids (rep, k1, k2)."""
+    """(rep, shingles): the full sets of the documents in ids (rep), a written table."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -103,11 +111,14 @@ def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in _sets(batch, 1)], pa.binary())], names=["rep", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text"))
-    return rows.join(ids, "rep", "left_semi").mapInArrow(work, "rep long, shingles binary")
+    return rows.join(small(ids, BROADCAST_PAIRS), "rep", "left_semi").mapInArrow(work, "rep long, shingles binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v): pairs with 100 * |intersection| >= percent * |union| on the full sets."""
+    """Links (u, v): pairs (a written table) with 100 * |intersection| >= percent * |union| on the full sets.
+
+    Sets are brought to their pairs and then joined by pair, so that a pivot of many pairs is no hot key.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,9 +130,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             on = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(on), b.column(1).filter(on)], names=["u", "v"])
 
-    mine = sets.select(F.col("rep").alias("x"), F.col("shingles").alias("s"))
-    theirs = sets.select(F.col("rep").alias("p"), F.col("shingles").alias("t"))
-    return pairs.select("x", "p").join(mine, "x").join(theirs, "p").select("x", "p", "s", "t").mapInArrow(work, "u long, v long")
+    own = small(pairs.select("x", "p"), BROADCAST_PAIRS)
+    mine = sets.select(F.col("rep").alias("x"), F.col("shingles").alias("s")).join(own, "x")
+    theirs = sets.select(F.col("rep").alias("p"), F.col("shingles").alias("t")).join(own, "p")
+    return mine.join(theirs, ["x", "p"]).select("x", "p", "s", "t").mapInArrow(work, "u long, v long")
 
 
 def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -131,78 +143,146 @@ def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("_cx", "x") != F.coalesce("_cp", "p")).select(*pairs.columns)
 
 
-def _link(docs: DataFrame, reps: DataFrame, pending: DataFrame, links: DataFrame, comp: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Confirm pending pairs (x, p, same); returns all links and components."""
-    if not pending.head(1):
-        return links, comp
-    ids = pending.select(F.col("x").alias("rep")).unionByName(pending.select(F.col("p").alias("rep"))).distinct()
-    sets = cut(_full_sets(docs, ids).dropDuplicates(["rep"]), "sets")
-    for last in (False, True):
-        todo = pending
-        if not last:  # each x with its most similar partner first: most other pairs then lie inside a component
-            best = pending.groupBy("x").agg(F.max(F.struct("same", (-F.col("p")).alias("_p"))).alias("_best"))
-            todo = best.select("x", (-F.col("_best._p")).alias("p"))
-        links = cut(links.unionByName(_confirmed(todo, sets, percent)), "links")
-        comp = cut(connected_components(links), "components")
-        if last:
-            break
-        pending = cut(_across(pending.join(todo, ["x", "p"], "left_anti"), comp), "pending")
-        if not pending.head(1):
-            break
-    return links, comp
-
-
-def _pairs_with_pivots(bands: DataFrame) -> DataFrame:
-    other = F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("rep"))
-    pivots = bands.groupBy("key").agg(F.min("rep").alias("p1"), F.min(other)["rep"].alias("p2"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    found = bands.join(pivots, "key").select("rep", F.explode(F.array_distinct(F.array("p1", "p2"))).alias("q")).filter("rep <> q")
+class _Links:
+    """Confirmed links, tested pairs and components so far."""
+
+    def __init__(self, docs: DataFrame, percent: int):
+        spark = docs.sparkSession
+        self.docs, self.percent = docs, percent
+        self.links = spark.createDataFrame([], "u long, v long")
+        self.tested = spark.createDataFrame([], "x long, p long")
+        self.comp = spark.createDataFrame([], "node long, component long")
+
+    def confirm(self, pairs: DataFrame) -> None:
+        """Test pairs (x, p) on the full sets and bring components up to date."""
+        pairs = cut(pairs.select("x", "p"), "tested")
+        if not pairs.head(1):
+            return
+        ids = cut(pairs.select(F.col("x").alias("rep")).unionByName(pairs.select(F.col("p").alias("rep"))).distinct(), "participants")
+        sets = cut(_full_sets(self.docs, ids), "sets")
+        self.links = cut(self.links.unionByName(_confirmed(pairs, sets, self.percent)), "links")
+        self.tested = cut(self.tested.unionByName(pairs), "tested")
+        self.comp = cut(connected_components(self.links), "components")
+
+    def open(self, pairs: DataFrame) -> DataFrame:
+        """pairs that are neither tested nor inside a component."""
+        return _across(pairs.join(self.tested, ["x", "p"], "left_anti"), self.comp)
+
+    def best(self, pairs: DataFrame) -> DataFrame:
+        """Of the pairs (x, p, same) the most similar one of each x."""
+        top = pairs.groupBy("x").agg(F.max(F.struct("same", (-F.col("p")).alias("_p"))).alias("_best"))
+        return top.select("x", (-F.col("_best._p")).alias("p"))
+
+
+def _state(classes: DataFrame, comp: DataFrame) -> DataFrame:
+    """(rep, comp, size, signature): size is that of the component so far."""
+    sizes = comp.groupBy(F.col("component").alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    named = cut(comp.join(sizes, F.col("component") == F.col("_k")).select(F.col("node").alias("_r"), "component", "_n"), "named")
+    both = classes.join(small(named, BROADCAST_PAIRS), classes["rep"] == named["_r"], "left")
+    return both.select("rep", F.coalesce("component", "rep").alias("comp"), F.coalesce("_n", F.lit(1)).alias("size"), "signature")
+
+
+def _bands(state: DataFrame, bands: int) -> DataFrame:
+    keys = F.array(*(F.xxhash64(F.lit(b), F.substring("signature", 4 * ROWS * b + 1, 4 * ROWS)) for b in range(bands)))
+    return state.select("rep", "comp", "size", F.explode(keys).alias("key"))
+
+
+def _pairs_with_pivots(state: DataFrame, turn: int) -> DataFrame:
+    """(x, p): each member of a bucket that is outside its largest component, with one member of that component.
+
+    The pivot is the member of least hash, another one each turn. In the first turn, on a few bands only, all
+    members are on their own and the pivot is the one of smallest id.
+    """
+    b = _bands(state, FIRST_BANDS if turn == 0 else BANDS)
+    if turn == 0:
+        pivots = b.groupBy("key").agg(F.min("rep").alias("q"), F.max("rep").alias("_z")).filter("q <> _z").select("key", "q", F.col("q").alias("_c"))
+    else:
+        top = F.max(F.struct("size", F.col("comp").alias("c"), F.xxhash64("rep", F.lit(turn)).alias("h"), "rep")).alias("top")
+        pivots = b.groupBy("key").agg(top, F.min("comp").alias("_a"), F.max("comp").alias("_z")).filter("_a <> _z").select("key", F.col("top.rep").alias("q"), F.col("top.c").alias("_c"))
+    found = b.join(pivots, (b["key"] == pivots["key"]) & (F.col("comp") != F.col("_c")) & (F.col("rep") != F.col("q")))
     return found.select(F.greatest("rep", "q").alias("x"), F.least("rep", "q").alias("p")).distinct()
 
 
-def _pairs_left(bands: DataFrame, comp: DataFrame, low: DataFrame) -> DataFrame:
-    """Pairs (x, p, same) of a bucket that lie in different components and whose signatures agree enough."""
-    c = comp.toDF("rep", "_c")
-    own = bands.join(c, "rep", "left").select("key", "rep", F.coalesce("_c", "rep").alias("comp"))
-    spread = own.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b and n > 2").select("key", "n")
-    own = cut(own.join(spread, "key"), "left")
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, as products of incidence matrices over a few thousand shingles at a time."""
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    often = np.flatnonzero(np.bincount(column, minlength=len(values)) > 1)
+    place = np.full(len(values), -1)
+    place[often] = np.arange(len(often))
+    column = place[column]
+    row, column = row[column >= 0], column[column >= 0]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for k in range(0, len(often), 4096):
+        on = (column >= k) & (column < k + 4096)
+        m = np.zeros((len(sets), min(4096, len(often) - k)), np.float32)
+        m[row[on], column[on] - k] = 1
+        out += m @ m.T
+    return out.astype(np.int64)
+
+
+def _links_left(docs: DataFrame, state: DataFrame, percent: int) -> DataFrame | None:
+    """Links (u, v) between members of a bucket that lie in different components: all those that join components.
+
+    Tests are made inside the task, on the full sets; links that join nothing new there are not handed on.
+    """
+    own = _bands(state, BANDS)
+    top = F.max(F.struct("size", "comp"))["comp"].alias("major")
+    spread = own.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("n"), top).filter("a <> b and n > 2").select("key", "n", "major")
+    own = cut(own.join(spread, "key").select("key", "rep", "comp", "n", "major"), "left")
     if not own.head(1):
         return None
-    sizes = own.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp"))["comp"].alias("major"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     # members of the largest component go to one block each, the others to every block of their bucket
     at = F.when(F.col("comp") == F.col("major"), F.array(F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
-    dealt = own.join(sizes, "key").withColumn("block", F.explode(at)).join(low, "rep")
+    sets = cut(_full_sets(docs, cut(own.select("rep").distinct(), "participants")), "sets")
+    dealt = own.withColumn("block", F.explode(at)).join(sets, "rep")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf["low"]), np.uint8).reshape(-1, HASHES)
-        rep, comp_, minor = pdf["rep"].to_numpy(), pdf["comp"].to_numpy(), (pdf["comp"] != pdf["major"]).to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+        rep, comp, major = pdf["rep"].to_numpy(), pdf["comp"].to_numpy(), (pdf["comp"] == pdf["major"]).to_numpy()
+        both, size = _shared(sets), np.array([len(x) for x in sets])
+        hit = 100 * both >= percent * (size[:, None] + size[None] - both)
+        hit &= comp[:, None] != comp[None]
+        if pdf["block"].iloc[0]:  # pairs without a member of the largest component are block 0's
+            hit &= major[:, None] | major[None]
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
         out = []
-        for i in np.flatnonzero(minor):
-            same = (sig == sig[i]).sum(axis=1)
-            hit = (same >= LEAST_AGREEING) & (comp_ != comp_[i])
-            out += [(max(rep[i], r), min(rep[i], r), s) for r, s in zip(rep[hit], same[hit], strict=True)]
-        return pd.DataFrame(sorted(set(out)), columns=["x", "p", "same"])
+        for i, j in zip(*np.nonzero(np.triu(hit)), strict=True):
+            x, y = find(comp[i]), find(comp[j])
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append((rep[i], rep[j]))
+        return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
-    return dealt.select("key", "block", "rep", "comp", "major", "low").groupBy("key", "block").applyInPandas(work, "x long, p long, same long").distinct()
+    return dealt.select("key", "block", "rep", "comp", "major", "shingles").groupBy("key", "block").applyInPandas(work, "u long, v long")
 
 
 def near_groups(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, a row for each input row."""
-    spark = docs.sparkSession
     prof = cut(profiles(docs), "profiles")
     named = prof.filter("doc_id is not null and n_shingles > 0")
     classes = cut(named.groupBy("n_shingles", "k1", "k2").agg(F.min(F.struct("doc_id", "signature")).alias("one")).select("n_shingles", "k1", "k2", F.col("one.doc_id").alias("rep"), F.col("one.signature").alias("signature")), "classes")
-    low_bytes = F.concat(*(F.substring("signature", 4 * k + 1, 1) for k in range(HASHES)))
-    low = cut(classes.groupBy("rep").agg(F.min("signature").alias("signature")).select("rep", low_bytes.alias("low")), "low")
-    keys = F.array(*(F.xxhash64(F.lit(b), F.substring("signature", 4 * ROWS * b + 1, 4 * ROWS)) for b in range(BANDS)))
-    bands = cut(classes.select("rep", F.explode(keys).alias("key")).distinct(), "bands")
-    pending = cut(_agreeing(_pairs_with_pivots(bands), low), "pending")
-    links, comp = spark.createDataFrame([], "u long, v long"), spark.createDataFrame([], "node long, component long")
-    links, comp = _link(docs, classes, pending, links, comp, percent)
-    left = _pairs_left(bands, comp, low)
+    low = cut(classes.select("rep", F.concat(*(F.substring("signature", 4 * k + 1, 1) for k in range(HASHES))).alias("low")), "low")
+    found, pending = _Links(docs, percent), None
+    for turn in range(TURNS):
+        pairs = cut(_agreeing(cut(_pairs_with_pivots(_state(classes, found.comp), turn), "pairs"), low), "agreeing")
+        pending = pairs if pending is None else pending.unionByName(pairs)
+        found.confirm(found.best(found.open(pairs)))
+    pending = cut(found.open(pending).distinct(), "pending")
+    found.confirm(found.best(pending))
+    found.confirm(found.open(pending))
+    left = _links_left(docs, _state(classes, found.comp), percent)
     if left is not None:
-        left = left.join(pending, ["x", "p"], "left_anti")  # those have been tested
-        links, comp = _link(docs, classes, cut(left, "pending"), links, comp, percent)
+        found.links = cut(found.links.unionByName(left), "links")
+        found.comp = cut(connected_components(found.links), "components")
+    comp = found.comp
     named_by = classes.select("n_shingles", "k1", "k2", "rep").join(comp.toDF("rep", "component"), "rep", "left")
     named_by = named_by.select("n_shingles", "k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = prof.drop("signature").join(named_by, ["n_shingles", "k1", "k2"], "left")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, table
+from ._common import bounded_batches, cut, table
 
 ROOM = 2048
 END = 0
@@ -37,7 +37,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Characters whose classes are the same in every library: others are left to the tokenizer's own splitting.
 _PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]*")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-CACHE = 300_000
+CACHE = 200_000
 
 
 def tokenizer_path() -> str:
@@ -114,6 +114,7 @@ def pieces(docs: DataFrame, *, path: str, room: int = ROOM, end: int = END, ids:
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.RecordBatch.from_arrays(arrays[: 5 + ids], names=names[: 5 + ids])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, PIECES + ", ids binary" * ids)
 
 

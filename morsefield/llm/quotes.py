@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER, cut, table
+from ._common import LOWER, UPPER, bounded_batches, cut, table
 
 _MARK = re.compile(r"[ \t]?((?:>[ \t]?)+)(.*)", re.S)
 _SAYS = re.compile(r".{0,200}\bwrote:[ \t\r]*")
@@ -71,6 +71,7 @@ def messages(conversations: DataFrame) -> DataFrame:
             arrays = [pa.array(text, pa.string()), pa.array(level, pa.int32()), pa.array(quotes, quoted_type), pa.array(mine, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *arrays], names=["conv_id", "turn", "role", "text", "max_level", "quoted", "mine"])
 
+    bounded_batches(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), "text")
     return rows.mapInArrow(work, "conv_id long, turn long, role string, text string, max_level int, quoted array<struct<level:int,key:long,n:long>>, mine array<long>")
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, table
+from ._common import bounded_batches, cut, table
 from ._shingles import mix, prefix_hashes, range_hashes
 
 LENGTH = 400
@@ -158,6 +158,7 @@ def _signed(v) -> pa.Array:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
 
