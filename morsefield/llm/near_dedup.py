@@ -7,7 +7,8 @@
    pivot inside it, in a few turns with changing pivots, so there are no more pairs than rows. Pairs whose signatures agree
    too little (5 standard deviations below the threshold) are dropped; of the others the most similar one of each
    document is confirmed on the full sets.
-4. Components follow from confirmed links by alternating large-star and small-star, after every turn.
+4. Components follow from confirmed links by alternating large-star and small-star, after every turn from the stars of the
+   turn before. Of the pairs left between components all are confirmed at the end.
 5. What pivots can miss, a link between two members of a bucket that are still in different components, is looked for
    exhaustively: all members outside a bucket's largest component meet all members in blocks, on the full sets and inside
    the task; only links that join components are handed on. That keeps the result whole.
@@ -39,7 +40,7 @@ HASHES = BANDS * ROWS
 LEAST_AGREEING = 85
 BLOCK = 512
 #: Turns of pairing with pivots, the first one on FIRST_BANDS bands.
-TURNS = 3
+TURNS = 2
 FIRST_BANDS = 4
 _RNG = np.random.default_rng(7)
 _A = _RNG.integers(1, 2**63, (HASHES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -144,12 +145,11 @@ def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 class _Links:
-    """Confirmed links, tested pairs and components so far."""
+    """Tested pairs and components so far. Links are kept as stars: each node with its component."""
 
     def __init__(self, docs: DataFrame, percent: int):
         spark = docs.sparkSession
         self.docs, self.percent = docs, percent
-        self.links = spark.createDataFrame([], "u long, v long")
         self.tested = spark.createDataFrame([], "x long, p long")
         self.comp = spark.createDataFrame([], "node long, component long")
 
@@ -160,9 +160,13 @@ class _Links:
             return
         ids = cut(pairs.select(F.col("x").alias("rep")).unionByName(pairs.select(F.col("p").alias("rep"))).distinct(), "participants")
         sets = cut(_full_sets(self.docs, ids), "sets")
-        self.links = cut(self.links.unionByName(_confirmed(pairs, sets, self.percent)), "links")
-        self.tested = cut(self.tested.unionByName(pairs), "tested")
-        self.comp = cut(connected_components(self.links), "components")
+        self.tested = self.tested.unionByName(pairs)
+        self.join_up(_confirmed(pairs, sets, self.percent))
+
+    def join_up(self, links: DataFrame) -> None:
+        """Bring components up to date with links (u, v)."""
+        stars = self.comp.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        self.comp = cut(connected_components(stars.unionByName(links)), "components")
 
     def open(self, pairs: DataFrame) -> DataFrame:
         """pairs that are neither tested nor inside a component."""
@@ -275,13 +279,10 @@ def near_groups(docs: DataFrame, *, percent: int = 85) -> DataFrame:
         pairs = cut(_agreeing(cut(_pairs_with_pivots(_state(classes, found.comp), turn), "pairs"), low), "agreeing")
         pending = pairs if pending is None else pending.unionByName(pairs)
         found.confirm(found.best(found.open(pairs)))
-    pending = cut(found.open(pending).distinct(), "pending")
-    found.confirm(found.best(pending))
-    found.confirm(found.open(pending))
+    found.confirm(found.open(pending.select("x", "p").distinct()))
     left = _links_left(docs, _state(classes, found.comp), percent)
     if left is not None:
-        found.links = cut(found.links.unionByName(left), "links")
-        found.comp = cut(connected_components(found.links), "components")
+        found.join_up(left)
     comp = found.comp
     named_by = classes.select("n_shingles", "k1", "k2", "rep").join(comp.toDF("rep", "component"), "rep", "left")
     named_by = named_by.select("n_shingles", "k1", "k2", F.coalesce("component", "rep").alias("component"))
