@@ -18,6 +18,7 @@ their first piece may be short. An empty table gives no rows. Other columns are
 from __future__ import annotations
 
 import bisect
+import functools
 import json
 import re
 import zlib
@@ -89,6 +90,12 @@ class Encoder:
         return b"".join(found)
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a Python worker: it takes a second to build."""
+    return Encoder(path)
+
+
 def cut_pieces(n: int, room: int = ROOM) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens."""
     first = n % room or room
@@ -100,7 +107,7 @@ def pieces(docs: DataFrame, *, path: str, room: int = ROOM, end: int = END, ids:
     tail = np.array([end], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder(path)
         for batch in batches:
             out: list[tuple] = []
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
