@@ -1,15 +1,17 @@
 """Personal data: pattern spans, and information-theoretic sanitisation of the terms around them.
 
 Patterns find the protected entities: e-mail and IP addresses, card and phone numbers. For the rest the corpus is the
-adversary's background knowledge. For a term t that stands within ``CONTEXT`` words of an entity e in c(t, e) texts, and
-in n(t) of all N texts at all, seeing t reveals e with P(e | t) = c(t, e) / n(t), and the information it gives is
-log2(P(e | t) / P(e)) bits, P(e) = n(e) / N. Terms seen with the same entity in at least ``min_texts`` texts, with P(e | t) at
+adversary's background knowledge. For a term t that stands in c(t, e) texts together with an entity e, and in n(t) of
+all N texts at all, seeing t reveals e with P(e | t) = c(t, e) / n(t), and the information it gives is
+log2(P(e | t) / P(e)) bits, P(e) = n(e) / N. All are counts of whole texts, of any length, and of words that touch no
+entity of the text. Terms seen with the same entity in at least ``min_texts`` texts, with P(e | t) at
 least ``disclosure`` and at least ``min_bits`` bits, are generalised (replaced by their kind) wherever they stand, and removed if
 P(e | t) reaches ``removal``. Counts are over all texts; equal texts count once, since a copy is no new evidence.
 
 All is built-in expressions: texts are split by a pattern, so that the lengths of the pieces give the places of the
 matches. Patterns are written with possessive loops, which match the same and cannot overflow the stack on long
-runs. Terms around entities are a fixed number per entity, so pairs grow with the entities and not with their square.
+runs. Pairs of terms and entities are not made one by one: all terms that stand in the same texts with entities have the
+same counts, all entities of the same texts too, so only one name of each such set is paired within a text.
 
 Defined results. Null text counts as empty and has no spans. Places count code points, ends are exclusive. Base spans
 of different kinds may overlap and all stay; a term that overlaps a base span of the text is not a span of its own.
@@ -33,7 +35,9 @@ PATTERNS = {
     "card": "[0-9]++(?:[\\x20-][0-9]++)*+",
     "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
 }
-CONTEXT = 5
+WORD_RE = "[^\\x20\\x09-\\x0D]++"
+#: Rows of 16 bytes up to which a table is broadcast.
+MANY_ROWS = 1_000_000
 MIN_TEXTS = 3
 DISCLOSURE = 0.5
 REMOVAL = 0.9
@@ -103,45 +107,75 @@ def with_base_spans(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_spans", F.explode(F.array(kinds)))
 
 
-def _around(text: Column, start: Column, end: Column) -> Column:
-    """Words before and after a place, CONTEXT on each side, from at most 200 characters."""
-    before = F.substring(text, F.greatest(start - 199, F.lit(1)), F.least(start, F.lit(200)))
-    after = F.substring(text, end + 1, F.lit(200))
-    left, right = words_of(before), words_of(after)
-    left = F.slice(left, F.greatest(F.size(left) - CONTEXT + 1, F.lit(1)), F.lit(CONTEXT))
-    return F.array_distinct(F.concat(left, F.slice(right, 1, CONTEXT)))
-
-
-def disclosing_terms(rows: DataFrame, *, min_texts: int = MIN_TEXTS, disclosure: float = DISCLOSURE, min_bits: float = MIN_BITS) -> DataFrame:
-    """(term, disclosure, bits) of the terms that reveal some entity. rows: _text, _spans."""
-    texts = rows.select(F.xxhash64("_text").alias("_t"), F.col("_text"), F.concat(*(F.col(f"_spans.{k}") for k in PATTERNS)).alias("own"))
-    near = texts.filter(F.size("own") > 0).withColumn("e", F.explode("own"))
-    entity = F.concat("e.kind", F.lit(":"), "e.text")
-    near = near.select("_t", entity.alias("entity"), _around(F.col("_text"), F.col("e.start"), F.col("e.end")).alias("terms"))
-    near = cut(near.groupBy("_t", "entity").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms")), "contexts")
-    entities = near.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= min_texts)
-    pairs = near.join(cut(entities, "entities"), "entity").select("entity", "n_e", F.explode("terms").alias("term"))
-    pairs = pairs.filter(F.length("term") > 2).groupBy("entity", "n_e", "term").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= min_texts)
-    pairs = cut(pairs, "pairs")
-    if not pairs.head(1):
-        return pairs.select("term", F.lit(0.0).alias("disclosure"), F.lit(0.0).alias("bits"))
-    candidates = cut(pairs.select("term").distinct(), "candidates")
-    # all texts, equal ones once: the texts of each candidate term, counted before they are shuffled
-    seen = rows.select(F.xxhash64("_text").alias("_t"), F.explode(F.array_distinct(words_of(F.col("_text")))).alias("term"))
-    counts = seen.join(small(candidates), "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = rows.select(F.xxhash64("_text").alias("_t")).distinct().count()
-    scored = pairs.join(counts, "term").withColumn("p", F.col("both") / F.col("n_t"))
-    scored = scored.withColumn("b", F.log2(F.col("p") * F.lit(float(total)) / F.col("n_e")))
+def _outside(text: Column, own: Column) -> Column:
+    """The text without the words that spans touch."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def piece(at: Column, n: Column) -> Column:
+        p = F.substring(text, at + 1, n)
+        return F.when(at > 0, F.regexp_replace(p, f"^{WORD_RE}", "")).otherwise(p)
+
+    def step(a: Column, x: Column) -> Column:
+        before = F.regexp_replace(piece(a["at"], F.greatest(x["start"] - a["at"], F.lit(0))), f"(?<!{WORD_RE[:-2]}){WORD_RE}\\z", "")
+        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.concat(a["out"], F.array(before)).alias("out"))
+
+    places = F.array_sort(F.transform(own, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    return F.aggregate(places, zero, step, lambda a: F.array_join(F.concat(a["out"], F.array(piece(a["at"], F.length(text)))), " "))
+
+
+def contexts(rows: DataFrame) -> DataFrame:
+    """(_t, _text, own, entities, terms) of the texts that hold an entity, equal ones once, a written table."""
+    own = F.concat(*(F.col(f"_spans.{k}") for k in PATTERNS))
+    near = rows.select("_t", "_text", own.alias("own")).filter(F.size("own") > 0).dropDuplicates(["_t"])
+    near = near.withColumn("_outside", F.explode(F.array(_outside(F.col("_text"), F.col("own")))))
+    entities = F.array_distinct(F.transform("own", lambda x: F.concat(x["kind"], F.lit(":"), x["text"])))
+    return cut(near.select("_t", "_text", "own", entities.alias("entities"), F.array_distinct(words_of(F.col("_outside"))).alias("terms")), "contexts")
+
+
+def _plain(rows: DataFrame) -> DataFrame:
+    """The rows without any entity."""
+    return rows.filter(F.size(F.concat(*(F.col(f"_spans.{k}") for k in PATTERNS))) == 0)
+
+
+def _texts_of(near: DataFrame, what: str, kinds: DataFrame) -> DataFrame:
+    """(_t, n, f) for kinds (one, n, f): the texts of near that hold ``one``. f of a single text is its _t."""
+    often = cut(kinds.filter("n > 1"), "often")
+    held = near.select("_t", F.explode(what).alias("one")).join(small(often), "one").select("_t", "n", "f")
+    return kinds.filter("n = 1").select(F.col("f").alias("_t"), "n", "f").unionByName(held)
+
+
+def _kinds(counted: DataFrame) -> DataFrame:
+    """(one, n, f): one name for all that stand in the same n texts, of fingerprint f."""
+    return counted.groupBy("n", "f").agg(F.min("name").alias("one"))
+
+
+def disclosing_terms(rows: DataFrame, near: DataFrame, *, min_texts: int = MIN_TEXTS, disclosure: float = DISCLOSURE, min_bits: float = MIN_BITS) -> DataFrame:
+    """(term, n, f, far, disclosure, bits) of the terms that reveal some entity; far is the number of texts without one. near: contexts(rows)."""
+    copies = cut(rows.groupBy("_t").agg(F.count(F.lit(1)).alias("_m")), "copies")
+    total = float(copies.count())
+    counted = lambda what: near.select("_t", F.explode(what).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("_t").alias("f"))
+    # m equal texts count 1/m each, so the sums are whole but for rounding
+    often = small(copies.filter("_m > 1").withColumnRenamed("_t", "_c"), MANY_ROWS)
+    plain = _plain(rows).select("_t", "_text").join(often, F.col("_t") == F.col("_c"), "left")
+    plain = plain.select((F.lit(1.0) / F.coalesce("_m", F.lit(1))).alias("_w"), F.explode(F.array_distinct(words_of(F.col("_text")))).alias("term"))
+    far = plain.groupBy("term").agg(F.round(F.sum("_w")).cast("long").alias("far"))
+    terms = counted("terms").withColumnRenamed("name", "term").join(far, "term", "left").withColumn("far", F.coalesce("far", F.lit(0)))
+    # no entity can be in more texts of a term than those that hold any
+    terms = cut(terms.filter((F.length("term") > 2) & (F.col("n") >= F.greatest(F.lit(min_texts), disclosure * (F.col("n") + F.col("far"))))), "candidates")
+    entities = cut(counted("entities").filter(F.col("n") >= min_texts), "entities")
+    mine = _texts_of(near, "terms", _kinds(terms.withColumnRenamed("term", "name")))
+    theirs = _texts_of(near, "entities", _kinds(entities)).toDF("_t", "n_e", "g")
+    pairs = mine.join(theirs, "_t").groupBy("n", "f", "n_e", "g").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= min_texts)
+    scored = terms.join(pairs, ["n", "f"]).withColumn("p", F.col("both") / (F.col("n") + F.col("far")))
+    scored = scored.withColumn("b", F.log2(F.col("p") * F.lit(total) / F.col("n_e")))
     scored = scored.filter((F.col("p") >= disclosure) & (F.col("b") >= min_bits))
-    return scored.groupBy("term").agg(F.max("p").alias("disclosure"), F.max("b").alias("bits"))
+    return scored.groupBy("term", "n", "f", "far").agg(F.max("p").alias("disclosure"), F.max("b").alias("bits"))
 
 
-def term_spans(rows: DataFrame, terms: DataFrame, removal: float = REMOVAL) -> DataFrame:
-    """(_row, found): spans of disclosing terms that overlap no base span, for the rows that have any."""
-    own = small(terms.select("term", (F.col("disclosure") >= removal).alias("gone")))
-    hits = rows.select("_row", F.explode(F.array_distinct(words_of(F.col("_text")))).alias("term")).distinct().join(own, "term")
-    hits = hits.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "gone"))).alias("_hits"))
-    both = rows.join(cut(hits, "hits"), "_row")
+def _placed(texts: DataFrame, hits: DataFrame) -> DataFrame:
+    """(_t, found): spans of the terms in hits (_t, term, gone) that overlap no base span. texts: _t, _text, own."""
+    hits = cut(hits.groupBy("_t").agg(F.map_from_entries(F.collect_list(F.struct("term", "gone"))).alias("_hits")), "hits")
+    both = texts.join(hits, "_t")
     gaps = F.split("_text", "[^\\x20\\x09-\\x0D]+")
     pairs = F.zip_with(words_of(F.col("_text")), gaps, lambda w, g: F.struct(w.alias("w"), F.length(g).alias("gap")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(NO_SPANS).alias("out"))
@@ -153,11 +187,24 @@ def term_spans(rows: DataFrame, terms: DataFrame, removal: float = REMOVAL) -> D
         mine = F.struct(kind.alias("kind"), start.alias("start"), end.alias("end"), x["w"].alias("text"))
         return F.struct(end.alias("at"), F.when(F.map_contains_key(F.col("_hits"), x["w"]), F.concat(a["out"], F.array(mine))).otherwise(a["out"]).alias("out"))
 
-    base = F.concat(*(F.col(f"_spans.{k}") for k in PATTERNS))
     full = F.filter(pairs, lambda x: x["w"].isNotNull())
-    both = both.withColumn("_base", F.explode(F.array(base))).withColumn("_found", F.explode(F.array(F.aggregate(full, zero, step, lambda a: a["out"]))))
-    clear = F.filter("_found", lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return both.select("_row", clear.alias("found")).dropDuplicates(["_row"])
+    both = both.withColumn("_found", F.explode(F.array(F.aggregate(full, zero, step, lambda a: a["out"]))))
+    clear = F.filter("_found", lambda s: ~F.exists("own", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return both.select("_t", clear.alias("found"))
+
+
+def term_spans(rows: DataFrame, near: DataFrame, terms: DataFrame, removal: float = REMOVAL) -> DataFrame:
+    """(_t, found): spans of disclosing terms that overlap no base span, for the texts that have any."""
+    gone = terms.withColumn("gone", F.col("disclosure") >= removal)
+    own = cut(gone.filter("n > 1").select("term", "gone"), "often")
+    held = near.select("_t", F.explode("terms").alias("term")).join(small(own), "term").select("_t", "term", "gone")
+    found = _placed(near, gone.filter("n = 1").select(F.col("f").alias("_t"), "term", "gone").unionByName(held))
+    own = cut(gone.filter("far > 0").select("term", "gone"), "far")
+    if not own.head(1):
+        return found
+    plain = _plain(rows).select("_t", "_text", F.array().cast(NO_SPANS).alias("own"))
+    hits = plain.select("_t", F.explode(F.array_distinct(words_of(F.col("_text")))).alias("term")).join(small(own), "term").distinct()
+    return found.unionByName(_placed(plain, hits).dropDuplicates(["_t"]))
 
 
 def _said(spans: Column, kind: str | None = None) -> Column:
@@ -169,13 +216,16 @@ def with_spans(docs: DataFrame, **how) -> DataFrame:
     """doc_id, _text, _spans (base, by kind) and _terms (spans of terms), a row for each input row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id"), text.alias("_text"))
-    rows = with_base_spans(rows.withColumn("_row", F.xxhash64("doc_id", "_text")))
-    terms = cut(disclosing_terms(rows, **how), "terms")
+    rows = with_base_spans(rows.withColumn("_t", F.xxhash64("_text")))
+    near = contexts(rows)
     none = F.array().cast(NO_SPANS)
+    if not near.head(1):
+        return rows.withColumn("_terms", none)
+    terms = cut(disclosing_terms(rows, near, **how), "terms")
     if not terms.head(1):
         return rows.withColumn("_terms", none)
-    found = cut(term_spans(rows, terms), "found").toDF("_r", "_f")
-    return rows.join(found, rows["_row"] == found["_r"], "left").withColumn("_terms", F.coalesce("_f", none)).drop("_r", "_f")
+    found = cut(term_spans(rows, near, terms), "found").toDF("_f_t", "_f")
+    return rows.join(found, rows["_t"] == found["_f_t"], "left").withColumn("_terms", F.coalesce("_f", none)).drop("_f_t", "_f")
 
 
 def privacy_report(docs: DataFrame, **how) -> DataFrame:

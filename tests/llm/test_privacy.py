@@ -68,3 +68,15 @@ def test_edges(spark):
     out = sorted((r.doc_id or 0, r.n_email, r.spans) for r in privacy.privacy_report(df).collect())
     assert out == [(0, 1, "email:0:6"), (1, 0, ""), (2, 0, ""), (4, 1, "email:0:6"), (4, 1, "email:0:6")]
     assert privacy.privacy_report(df.limit(0)).collect() == []
+
+
+def test_terms_stand_anywhere_in_the_text(spark):
+    far = " ".join(f"filler{k}" for k in range(300))
+    rows = [(i, f"Zanzibart {far} the number is +1 (555) 123-4567 {'y' * 300} {far} Quux") for i in range(6)]
+    rows = [(i, f"{t} thing{i}") for i, t in rows] + [(i, f"{far} text {i} the number is") for i in range(10, 200)]
+    rows += [(300, "we met Zanzibart once"), (301, f"see {'y' * 150} and Quux")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.spans for r in privacy.privacy_report(df).collect()}
+    assert out[300] == "term:7:16"
+    assert out[301] == "term:159:163"
+    assert out[20] == ""
