@@ -2,11 +2,12 @@
 
 Patterns find the protected entities: e-mail and IP addresses, card and phone numbers. For the rest the corpus is the
 adversary's background knowledge. For a term t that stands in c(t, e) texts together with an entity e, and in n(t) of
-all N texts at all, seeing t reveals e with P(e | t) = c(t, e) / n(t), and the information it gives is
-log2(P(e | t) / P(e)) bits, P(e) = n(e) / N. All are counts of whole texts, of any length, and of words that touch no
-entity of the text. Terms seen with the same entity in at least ``min_texts`` texts, with P(e | t) at
-least ``disclosure`` and at least ``min_bits`` bits, are generalised (replaced by their kind) wherever they stand, and removed if
-P(e | t) reaches ``removal``. Counts are over all texts; equal texts count once, since a copy is no new evidence.
+all N texts at all, seeing t reveals e with P(e | t) = (c(t, e) + ``prior`` * P(e)) / (n(t) + ``prior``), P(e) = n(e) / N, and
+the information it gives is log2(P(e | t) / P(e)) bits. The prior takes the place of a least number of texts: one text
+with its only entity gives 2/3, and removal takes five. All are counts of whole texts, of any length, and of words that
+touch no entity of the text. Terms with P(e | t) of at least ``disclosure`` and at least ``min_bits`` bits are generalised
+(replaced by their kind) wherever they stand, and removed if P(e | t) reaches ``removal``. Equal texts count once, since
+a copy is no new evidence.
 
 All is built-in expressions: texts are split by a pattern, so that the lengths of the pieces give the places of the
 matches. Patterns are written with possessive loops, which match the same and cannot overflow the stack on long
@@ -38,7 +39,7 @@ PATTERNS = {
 WORD_RE = "[^\\x20\\x09-\\x0D]++"
 #: Rows of 16 bytes up to which a table is broadcast.
 MANY_ROWS = 1_000_000
-MIN_TEXTS = 3
+PRIOR = 0.5
 DISCLOSURE = 0.5
 REMOVAL = 0.9
 MIN_BITS = 4.0
@@ -149,7 +150,7 @@ def _kinds(counted: DataFrame) -> DataFrame:
     return counted.groupBy("n", "f").agg(F.min("name").alias("one"))
 
 
-def disclosing_terms(rows: DataFrame, near: DataFrame, *, min_texts: int = MIN_TEXTS, disclosure: float = DISCLOSURE, min_bits: float = MIN_BITS) -> DataFrame:
+def disclosing_terms(rows: DataFrame, near: DataFrame, *, prior: float = PRIOR, disclosure: float = DISCLOSURE, min_bits: float = MIN_BITS) -> DataFrame:
     """(term, n, f, far, disclosure, bits) of the terms that reveal some entity; far is the number of texts without one. near: contexts(rows)."""
     copies = cut(rows.groupBy("_t").agg(F.count(F.lit(1)).alias("_m")), "copies")
     total = float(copies.count())
@@ -161,12 +162,12 @@ def disclosing_terms(rows: DataFrame, near: DataFrame, *, min_texts: int = MIN_T
     far = plain.groupBy("term").agg(F.round(F.sum("_w")).cast("long").alias("far"))
     terms = counted("terms").withColumnRenamed("name", "term").join(far, "term", "left").withColumn("far", F.coalesce("far", F.lit(0)))
     # no entity can be in more texts of a term than those that hold any
-    terms = cut(terms.filter((F.length("term") > 2) & (F.col("n") >= F.greatest(F.lit(min_texts), disclosure * (F.col("n") + F.col("far"))))), "candidates")
-    entities = cut(counted("entities").filter(F.col("n") >= min_texts), "entities")
+    terms = cut(terms.filter((F.col("n") + prior) >= disclosure * (F.col("n") + F.col("far") + prior)), "candidates")
+    entities = cut(counted("entities"), "entities")
     mine = _texts_of(near, "terms", _kinds(terms.withColumnRenamed("term", "name")))
     theirs = _texts_of(near, "entities", _kinds(entities)).toDF("_t", "n_e", "g")
-    pairs = mine.join(theirs, "_t").groupBy("n", "f", "n_e", "g").agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= min_texts)
-    scored = terms.join(pairs, ["n", "f"]).withColumn("p", F.col("both") / (F.col("n") + F.col("far")))
+    pairs = mine.join(theirs, "_t").groupBy("n", "f", "n_e", "g").agg(F.count(F.lit(1)).alias("both")).filter((F.col("both") + prior) >= disclosure * (F.col("n") + prior))
+    scored = terms.join(pairs, ["n", "f"]).withColumn("p", (F.col("both") + prior * F.col("n_e") / total) / (F.col("n") + F.col("far") + prior))
     scored = scored.withColumn("b", F.log2(F.col("p") * F.lit(total) / F.col("n_e")))
     scored = scored.filter((F.col("p") >= disclosure) & (F.col("b") >= min_bits))
     return scored.groupBy("term", "n", "f", "far").agg(F.max("p").alias("disclosure"), F.max("b").alias("bits"))

@@ -1,8 +1,11 @@
 import hashlib
+import math
+import random
 
 import brute
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from morsefield.llm import privacy
 
@@ -80,3 +83,59 @@ def test_terms_stand_anywhere_in_the_text(spark):
     assert out[300] == "term:7:16"
     assert out[301] == "term:159:163"
     assert out[20] == ""
+
+
+def brute_terms(docs, prior=0.5):
+    """{term: (disclosure, bits)} pair by pair; equal texts once."""
+    texts = set(docs)
+    terms, entities = {}, {}
+    for t in texts:
+        spans = brute.op9_base(t)
+        for m in brute.WORD.finditer(t):
+            if not any(s < m.end() and m.start() < e for _, s, e in spans):
+                terms.setdefault(m[0], set()).add(t)
+        for k, s, e in spans:
+            entities.setdefault((k, t[s:e]), set()).add(t)
+    out = {}
+    for term, own in terms.items():
+        for held in entities.values():
+            if both := len(own & held):
+                p = (both + prior * len(held) / len(texts)) / (len(own) + prior)
+                b = math.log2(p * len(texts) / len(held))
+                if p >= 0.5 and b >= 4:
+                    was = out.get(term, (0, 0))
+                    out[term] = (max(p, was[0]), max(b, was[1]))
+    return out
+
+
+def test_terms_of_rare_entities_against_brute_force(spark):
+    rng, texts = random.Random(3), []
+    for i in range(150):
+        words = [f"w{rng.randrange(rng.choice([20, 400, 2000]))}" for _ in range(rng.randrange(3, 30))]
+        for _ in range(rng.choice([0, 0, 0, 1, 2])):
+            words.insert(rng.randrange(len(words)), rng.choice([f"u{i}@x.org", f"({rng.randrange(9)}@y.org),", "10.0.0.1", f"w{i}:z@q.io"]))
+        texts.append(" ".join(words))
+    texts += [t for t in texts[:40] for _ in range(rng.randrange(3))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_terms(texts)
+    rows = privacy.with_base_spans(df.select("doc_id", F.col("text").alias("_text")).withColumn("_t", F.xxhash64("_text")))
+    got = {r.term: (r.disclosure, r.bits) for r in privacy.disclosing_terms(rows, privacy.contexts(rows)).collect()}
+    assert got.keys() == want.keys() and len(want) > 20
+    assert all(abs(got[t][k] - want[t][k]) < 1e-9 for t in want for k in (0, 1))
+    assert sum(got[t][0] < 0.7 for t in got) > 5
+    for r in privacy.privacy_report(df).collect():
+        t, base = texts[r.doc_id], brute.op9_base(texts[r.doc_id])
+        spans = [f"{k}:{s}:{e}" for k, s, e in base]
+        spans += [f"term:{m.start()}:{m.end()}" for m in brute.WORD.finditer(t) if m[0] in want and not any(s < m.end() and m.start() < e for _, s, e in base)]
+        assert r.spans == ",".join(spans)
+
+
+def test_an_entity_of_one_or_two_texts(spark):
+    rows = [(i, f"some text {i} the number of ab is today") for i in range(200)]
+    rows += [(300, "the number of Zanzibart is +1 (555) 123-4567 today"), (301, "Qx some text a@b.cc"), (302, "Qx the number a@b.cc"), (303, "text of Qx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.spans for r in privacy.privacy_report(df).collect()}
+    assert out[300] == "phone:27:44,term:14:23"
+    assert out[301] == "email:13:19,term:0:2"
+    assert out[303] == "term:8:10"
+    assert out[20] == ""
