@@ -3,9 +3,9 @@
 Each text is parsed into its own lines and quoted lines with their nesting level (the number of leading ``>`` signs).
 Lines are normalised (A-Z lower-cased, white space collapsed) and hashed. The earliest message of a conversation that has a
 line as its own is that line's original; one row a line is kept of it, so the join of quoted lines with originals has at
-most one partner each, however common a line is. A message answers the original of most of the characters it quotes at
-level 1 (ties: the latest); deeper levels are quotes of quotes and only counted. Messages without a linked quote start
-threads. Thread paths are found by doubling (each round joins paths with those of the ancestors reached so far), so
+most one partner each, however common a line is. Lines of all levels are joined; a message answers the original of most of
+the characters (ties: the latest) at the shallowest level that finds one: deeper levels are quotes of quotes, and count
+where the message between is missing or not quoted itself. Messages without a linked quote start threads. Thread paths are found by doubling (each round joins paths with those of the ancestors reached so far), so
 the rounds grow with the logarithm of the depth of quoting. Sorting by conv_id and thread_key gives every
 conversation in reply order: each message is followed by its answers.
 
@@ -79,14 +79,14 @@ def messages(conversations: DataFrame) -> DataFrame:
 def parents(parsed: DataFrame) -> DataFrame:
     """(conv_id, turn, parent, matched) of the messages that quote an earlier one."""
     named = parsed.filter("conv_id is not null and turn is not null")
-    quoted = named.select("conv_id", "turn", F.explode("quoted").alias("q")).filter("q.level = 1")
-    quoted = cut(quoted.groupBy("conv_id", "turn", F.col("q.key").alias("key")).agg(F.sum("q.n").alias("n")), "quoted")
+    quoted = named.select("conv_id", "turn", F.explode("quoted").alias("q"))
+    quoted = cut(quoted.groupBy("conv_id", "turn", F.col("q.level").alias("level"), F.col("q.key").alias("key")).agg(F.sum("q.n").alias("n")), "quoted")
     wanted = quoted.select("conv_id", "key").distinct()
     lines = named.select("conv_id", "turn", F.explode("mine").alias("key"))
     first = lines.groupBy("conv_id", "key").agg(F.min("turn").alias("parent")).join(wanted, ["conv_id", "key"], "left_semi")
     linked = quoted.join(first, ["conv_id", "key"]).filter("parent < turn")
-    votes = linked.groupBy("conv_id", "turn", "parent").agg(F.sum("n").alias("matched"))
-    best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct("matched", "parent")).alias("best"))
+    votes = linked.groupBy("conv_id", "turn", "level", "parent").agg(F.sum("n").alias("matched"))
+    best = votes.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("shallow"), "matched", "parent")).alias("best"))
     return cut(best.select("conv_id", "turn", F.col("best.parent").alias("parent"), F.col("best.matched").alias("matched")), "parents")
 
 

@@ -74,3 +74,18 @@ def test_edges(spark):
     assert len(got) == len(rows)
     assert {(r.turn, r.parent_turn) for r in got if r.parent_turn is not None} == {(4, 3)}
     assert quotes.thread(df.limit(0)).collect() == []
+
+
+def test_deep_quotes_link_where_shallow_ones_do_not(spark):
+    rows = [
+        (1, 0, "u", "the first word"),
+        (1, 1, "u", "> the first word\nan answer"),
+        (1, 3, "u", "> a message that is missing\n>> the first word\nyes"),
+        (1, 4, "u", ">> the first word\n>> and more\ndeep only"),
+        (1, 5, "u", "> an answer\n>> the first word\n>> the first word\nshallow wins"),
+        (1, 6, "u", "> gone\n>> gone too\n>>> deep only\nthree down"),
+        (1, 7, "u", ">> not there"),
+    ]
+    got = {r.turn: r for r in quotes.thread(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {t: r.parent_turn for t, r in got.items()} == {0: None, 1: 0, 3: 0, 4: 0, 5: 1, 6: 4, 7: None}
+    assert {t: r.root_turn for t, r in got.items()} == {0: 0, 1: 0, 3: 0, 4: 0, 5: 0, 6: 0, 7: 7}
