@@ -24,8 +24,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, the one of smallest doc_id."""
-    return near_dedup.drop_near_copies(docs)
+    """One document of each near-duplicate component of similarity 0.8, the one of smallest doc_id."""
+    return near_dedup.drop_near_copies(docs, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 1. Every text becomes the set of its 5-word shingles (64-bit hashes) and ``HASHES`` minima of multiply-add hashes. Texts
    of the same set are one class, whose smallest doc_id stands for it from here on, so exact copies cost nothing more.
-2. ``BANDS`` bands of ``ROWS`` minima are bucket keys; two sets of similarity 0.85 share none with probability 4e-7.
+2. Bands of a few minima are bucket keys, as many a band as leave two sets at the threshold without a shared key with
+   probability 1e-6 at most: 25 bands of 5 at 0.85 (4e-7), 31 of 4 at 0.8 (8e-8).
 3. A bucket's candidates are not all its pairs: each member outside the bucket's largest component is paired with one
    pivot inside it, in a few turns with changing pivots, so there are no more pairs than rows. Pairs whose signatures agree
-   too little (5 standard deviations below the threshold) are dropped; of the others the most similar one of each
+   too little (over 5 standard deviations below the threshold) are dropped; of the others the most similar one of each
    document is confirmed on the full sets.
 4. Components follow from confirmed links by alternating large-star and small-star, after every turn from the stars of the
    turn before. Of the pairs left between components all are confirmed at the end.
@@ -22,6 +23,7 @@ ignored, or handed on unchanged by ``drop_near_copies``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +36,7 @@ from ._common import bounded_batches, cut, small, table
 from ._shingles import mix, shingle_hashes
 from .components import connected_components
 
-BANDS, ROWS = 25, 5
-HASHES = BANDS * ROWS
-#: Of HASHES bytes of two signatures that have to agree; 106 are expected at 0.85, with a standard deviation of 4.
-LEAST_AGREEING = 85
+HASHES = 125
 BLOCK = 512
 #: Turns of pairing with pivots, the first one on FIRST_BANDS bands.
 TURNS = 2
@@ -47,6 +46,19 @@ _A = _RNG.integers(1, 2**63, (HASHES, 1), dtype=np.uint64) * np.uint64(2) + np.u
 _B = _RNG.integers(0, 2**63, (HASHES, 1), dtype=np.uint64)
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, minima a band) for a threshold: the most minima a band that miss a pair at it once in a million at most."""
+    s = percent / 100
+    rows = max((r for r in range(2, 12) if (1 - s**r) ** (HASHES // r) <= 1e-6), default=1)
+    return HASHES // rows, rows
+
+
+def least_agreeing(percent: int) -> int:
+    """Of HASHES bytes of two signatures those that have to agree: 5.25 standard deviations below what the threshold expects."""
+    s = percent / 100
+    return max(0, math.floor(HASHES * s - 5.25 * math.sqrt(HASHES * s * (1 - s))))
+
+
 def minima(x: np.ndarray) -> np.ndarray:
     """HASHES minima of a set of shingle hashes, the high 32 bits of each."""
     best = np.full(HASHES, 2**64 - 1, np.uint64)
@@ -83,14 +95,14 @@ def profiles(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "doc_id long, n_shingles long, k1 long, k2 long, signature binary")
 
 
-def _agreeing(pairs: DataFrame, bytes_of: DataFrame) -> DataFrame:
+def _agreeing(pairs: DataFrame, bytes_of: DataFrame, least: int) -> DataFrame:
     """pairs (x, p) whose signatures agree enough, with the number of bytes that do."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, p = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, HASHES) for k in (2, 3))
             same = (x == p).sum(axis=1)
-            on = pa.array(same >= LEAST_AGREEING)
+            on = pa.array(same >= least)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(on), b.column(1).filter(on), pa.array(same, pa.int64()).filter(on)], names=["x", "p", "same"])
 
     mine = bytes_of.select(F.col("rep").alias("x"), F.col("low").alias("low_x"))
@@ -186,18 +198,19 @@ def _state(classes: DataFrame, comp: DataFrame) -> DataFrame:
     return both.select("rep", F.coalesce("component", "rep").alias("comp"), F.coalesce("_n", F.lit(1)).alias("size"), "signature")
 
 
-def _bands(state: DataFrame, bands: int) -> DataFrame:
-    keys = F.array(*(F.xxhash64(F.lit(b), F.substring("signature", 4 * ROWS * b + 1, 4 * ROWS)) for b in range(bands)))
+def _bands(state: DataFrame, bands: int, rows: int) -> DataFrame:
+    keys = F.array(*(F.xxhash64(F.lit(b), F.substring("signature", 4 * rows * b + 1, 4 * rows)) for b in range(bands)))
     return state.select("rep", "comp", "size", F.explode(keys).alias("key"))
 
 
-def _pairs_with_pivots(state: DataFrame, turn: int) -> DataFrame:
+def _pairs_with_pivots(state: DataFrame, turn: int, percent: int) -> DataFrame:
     """(x, p): each member of a bucket that is outside its largest component, with one member of that component.
 
     The pivot is the member of least hash, another one each turn. In the first turn, on a few bands only, all
     members are on their own and the pivot is the one of smallest id.
     """
-    b = _bands(state, FIRST_BANDS if turn == 0 else BANDS)
+    bands, rows = banding(percent)
+    b = _bands(state, FIRST_BANDS if turn == 0 else bands, rows)
     if turn == 0:
         pivots = b.groupBy("key").agg(F.min("rep").alias("q"), F.max("rep").alias("_z")).filter("q <> _z").select("key", "q", F.col("q").alias("_c"))
     else:
@@ -230,7 +243,7 @@ def _links_left(docs: DataFrame, state: DataFrame, percent: int) -> DataFrame |
 
     Tests are made inside the task, on the full sets; links that join nothing new there are not handed on.
     """
-    own = _bands(state, BANDS)
+    own = _bands(state, *banding(percent))
     top = F.max(F.struct("size", "comp"))["comp"].alias("major")
     spread = own.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("n"), top).filter("a <> b and n > 2").select("key", "n", "major")
     own = cut(own.join(spread, "key").select("key", "rep", "comp", "n", "major"), "left")
@@ -276,7 +289,7 @@ def near_groups(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     low = cut(classes.select("rep", F.concat(*(F.substring("signature", 4 * k + 1, 1) for k in range(HASHES))).alias("low")), "low")
     found, pending = _Links(docs, percent), None
     for turn in range(TURNS):
-        pairs = cut(_agreeing(cut(_pairs_with_pivots(_state(classes, found.comp), turn), "pairs"), low), "agreeing")
+        pairs = cut(_agreeing(cut(_pairs_with_pivots(_state(classes, found.comp), turn, percent), "pairs"), low, least_agreeing(percent)), "agreeing")
         pending = pairs if pending is None else pending.unionByName(pairs)
         found.confirm(found.best(found.open(pairs)))
     found.confirm(found.open(pending.select("x", "p").distinct()))
