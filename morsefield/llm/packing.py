@@ -9,6 +9,7 @@ and take the slot of their rank in the plan.
 
 Token ids equal those of the tokenizer file: the byte-level pre-tokens of a text are looked up in a bounded cache and
 missing ones are encoded by byte-pair ranks read from the same file; the tests hold the ids against the tokenizers library.
+The file's added tokens (``<|endoftext|>``) are single ids wherever they stand in a text, as in that library by default.
 
 Defined results. Null text counts as empty: one piece that holds the end id alone. Rows are pieces of their own even
 where ids or texts repeat; a null doc_id is allowed. Only documents of more than ``room`` tokens are cut, and only
@@ -48,7 +49,7 @@ def tokenizer_path() -> str:
 
 
 class Encoder:
-    """text -> ids as little-endian unsigned 32-bit bytes."""
+    """text -> ids as little-endian unsigned 32-bit bytes. Added tokens are ordinary text here; see MarkedEncoder."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -90,10 +91,30 @@ class Encoder:
         return b"".join(found)
 
 
+class MarkedEncoder:
+    """As Encoder, but texts are split at the file's added tokens first, which are one id each."""
+
+    def __init__(self, path: str):
+        self.plain = Encoder(path)
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f).get("added_tokens") or []
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens that take in or look at what stands beside them are not supported")
+        self.ids = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
+        # of tokens that begin at the same place the longest one counts
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.ids, key=len, reverse=True))) + ")") if added else None
+
+    def __call__(self, text: str) -> bytes:
+        if self.marks is None or not self.marks.search(text):
+            return self.plain(text)
+        parts = self.marks.split(text)
+        return b"".join(self.ids[p] if k % 2 else self.plain(p) for k, p in enumerate(parts))
+
+
 @functools.lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str) -> MarkedEncoder:
     """One for all tasks of a Python worker: it takes a second to build."""
-    return Encoder(path)
+    return MarkedEncoder(path)
 
 
 def cut_pieces(n: int, room: int = ROOM) -> list[tuple[int, int]]:

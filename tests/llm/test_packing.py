@@ -110,3 +110,33 @@ def test_ids_are_carried(spark):
     df = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
     r = packing.pack(df, ids=True).first()
     assert zlib.crc32(bytes(r.ids)) == r.ids_crc32
+
+
+def default_ids(texts):
+    """Ids by the library as it is, added tokens included."""
+    from tokenizers import Tokenizer
+
+    return [e.ids for e in Tokenizer.from_file(packing.tokenizer_path()).encode_batch(texts, add_special_tokens=False)]
+
+
+MARK = "<|endoftext|>"
+PARTS = st.sampled_from([MARK, MARK[:-1], "|>", " ", "\n", "  ", "Next doc", "end here", "it's", "é", "日", "<", "12"])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(PARTS, max_size=12))
+def test_added_tokens_as_in_the_library(parts):
+    text = "".join(parts)
+    assert np.frombuffer(packing.encoder(packing.tokenizer_path())(text), "<u4").tolist() == default_ids([text])[0]
+
+
+def test_query_rows_of_texts_with_added_tokens(spark):
+    rows = [(1, f"end here{MARK}Next doc"), (2, MARK), (3, f"word {MARK} " * 1500), *((10 + k, t) for k, t in enumerate(ODD))]
+    ids = dict(zip([d for d, _ in rows], default_ids([t for _, t in rows]), strict=True))
+    assert ids[1] == [437, 994, 50256, 10019, 2205]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in out:
+        full = ids[r.doc_id] + [0]
+        assert (r.start, r.length) in packing.cut_pieces(len(full))
+        assert r.ids_crc32 == zlib.crc32(np.array(full[r.start : r.start + r.length], "<u4").tobytes())
+    assert len(out) == sum(len(packing.cut_pieces(len(x) + 1)) for x in ids.values())
