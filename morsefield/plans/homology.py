@@ -13,6 +13,7 @@ from ..operators.pipeline import make_pipeline
 from ..sources import tables
 from .clouds_graphs import ORDERED, C, edges_sql
 from .images import I
+from .reduction import REDUCED, SIMPLICES, diagram, flag_cells, report
 from .registry import query, r
 from .timeseries import DAILY
 
@@ -30,6 +31,14 @@ def h0_sql(half: float = 1.0, limit: str = "1e300", cloud: str = C) -> str:
 SELECT cloud_id, 0::INT AS hdim, 0.0::DOUBLE AS birth, round(w * {half}, 6) + 0.0 AS death FROM e WHERE w <= {limit} AND NOT EXISTS (SELECT 1 FROM reach k WHERE k.cloud_id = e.cloud_id AND k.src = e.src AND k.dst = e.dst AND k.node = e.dst)"""
 
 
+VERTICES = "SELECT cloud_id AS id, point_id AS v, 0.0::DOUBLE AS f FROM c"
+
+
+def rips_sql(metric: str = "euclidean", limit: str = "1e300", dims: str = "IN (0, 1)") -> str:
+    """The whole diagram, essential classes with infinite deaths included, by reducing the boundary matrix."""
+    return diagram(edges_sql(metric), flag_cells(VERTICES, f"SELECT cloud_id AS id, src AS a, dst AS b, w AS f FROM e WHERE w <= {limit}"), dims=dims)
+
+
 PLANE = C.replace("embedding::DOUBLE[]", "(embedding[1:2])::DOUBLE[]")
 
 
@@ -42,10 +51,14 @@ def _(spark, sf):
     return out(dg.finish(ph.rips(tables.clouds(spark, sf), dimensions=(0,)).toDF("sample_id", "hdim", "birth", "death"), 1e9).toDF("cloud_id", "hdim", "birth", "death"))
 
 
-@query("ph_rips_h0_threshold", h0_sql(limit="11.0"))
+@query("ph_rips_h0_threshold", rips_sql(limit="1.4", dims="= 0"))
 def _(spark, sf):
-    d = ph.rips(tables.clouds(spark, sf), dimensions=(0,), max_edge_length=11.0)
-    return out(d.filter(F.col("death") < INF))
+    return out(ph.rips(tables.clouds(spark, sf), dimensions=(0,), max_edge_length=1.4))
+
+
+@query("ph_rips_threshold", rips_sql(limit="1.4"))
+def _(spark, sf):
+    return out(ph.rips(tables.clouds(spark, sf), max_edge_length=1.4))
 
 
 @query("ph_finish", f"WITH {C} SELECT cloud_id, 0::INT AS hdim, 0.0::DOUBLE AS birth, 99.0::DOUBLE AS death FROM c WHERE point_id > 0")
@@ -56,7 +69,7 @@ def _(spark, sf):
 
 
 C5 = "c AS (SELECT vec_id // 5 AS cloud_id, (vec_id % 5)::INT AS point_id, embedding::DOUBLE[] AS x FROM embeddings)"
-TH = (9.5, 10.5, 11.5)
+TH = (1.3, 1.4, 1.5)
 #: Up to five points a flag complex has no classes above dimension 1, so that beta1 = beta0 - Euler characteristic.
 BETTI1 = f"""WITH RECURSIVE {edges_sql(cloud=C5)}, th AS (SELECT unnest({list(TH)})::DOUBLE AS t), a AS (SELECT cloud_id, t, src, dst FROM e, th WHERE w <= t),
  sym AS (SELECT cloud_id, t, src, dst FROM a UNION ALL SELECT cloud_id, t, dst, src FROM a),
@@ -76,24 +89,30 @@ def _(spark, sf):
     return ph.betti_curve_at(ph.rips(tables.clouds(spark, sf, 5), dimensions=(1,)), list(TH))
 
 
-@query("ph_rips_diagram")
+@query("ph_rips_diagram", rips_sql())
 def _(spark, sf):
     return out(ph.rips(tables.clouds(spark, sf)))
 
 
-@query("ph_rips_diagram_mod3")
+# no torsion in the plane of so few points, so that the diagram is the same over every field
+@query("ph_rips_diagram_mod3", rips_sql())
 def _(spark, sf):
     return out(ph.rips(tables.clouds(spark, sf), coeff=3))
 
 
-@query("ph_rips_manhattan_h0", h0_sql().replace(edges_sql(), edges_sql("manhattan")))
+@query("ph_rips_manhattan_h0", rips_sql("manhattan", dims="= 0"))
+def _(spark, sf):
+    return out(ph.rips(tables.clouds(spark, sf), "manhattan", (0,)))
+
+
+@query("ph_rips_precomputed_h0", rips_sql(dims="= 0"))
 def _(spark, sf):
-    return out(ph.rips(tables.clouds(spark, sf), "manhattan", (0,)).filter(F.col("death") < INF))
+    return out(ph.rips(pairwise(tables.clouds(spark, sf)), "precomputed", (0,)))
 
 
-@query("ph_rips_precomputed_h0", h0_sql())
+@query("ph_rips_collapsed", rips_sql())
 def _(spark, sf):
-    return out(ph.rips(pairwise(tables.clouds(spark, sf)), "precomputed", (0,), collapse_edges=True).filter(F.col("death") < INF))
+    return out(ph.rips(tables.clouds(spark, sf), collapse_edges=True))
 
 
 DTM = f"{edges_sql(on=ORDERED)}, k AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY cloud_id, src ORDER BY w, dst) <= 3), d AS (SELECT cloud_id, src AS v, 2 * sqrt(sum(w * w) / 4) AS w FROM k GROUP BY ALL)"
@@ -117,41 +136,87 @@ for _p, _sql in WEIGHTED.items():
         return ph.weighted_edges(pts, ph.dtm_weights(pts), float(p)).withColumn("w", r("w"))
 
 
-@query("ph_weighted_rips")
+@query("ph_weighted_rips", diagram(DTM, flag_cells("SELECT cloud_id AS id, v, w AS f FROM d", f"SELECT e.cloud_id AS id, e.src AS a, e.dst AS b, {WEIGHTED[1]} AS f FROM e JOIN d a ON a.cloud_id = e.cloud_id AND a.v = e.src JOIN d b ON b.cloud_id = e.cloud_id AND b.v = e.dst WHERE e.src < e.dst")))
 def _(spark, sf):
     return out(ph.weighted_rips(tables.clouds(spark, sf)))
 
 
-@query("ph_weak_alpha_h0", h0_sql(cloud=PLANE))
+#: Edges of triangles whose circumcircle holds no point.
+DELAUNAY = f"""{PLANE}, q AS (SELECT cloud_id, point_id AS v, x[1] AS x, x[2] AS y, x[1] * x[1] + x[2] * x[2] AS z FROM c),
+ tri AS (SELECT a.cloud_id, a.v AS i, b.v AS j, d.v AS k, a.x AS ax, a.y AS ay, 2 * (a.x * (b.y - d.y) + b.x * (d.y - a.y) + d.x * (a.y - b.y)) AS t,
+   a.z * (b.y - d.y) + b.z * (d.y - a.y) + d.z * (a.y - b.y) AS ux, a.z * (d.x - b.x) + b.z * (a.x - d.x) + d.z * (b.x - a.x) AS uy
+  FROM q a JOIN q b ON b.cloud_id = a.cloud_id AND b.v > a.v JOIN q d ON d.cloud_id = a.cloud_id AND d.v > b.v),
+ ok AS (SELECT * FROM tri WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.cloud_id = tri.cloud_id AND (q.x - ux / t) * (q.x - ux / t) + (q.y - uy / t) * (q.y - uy / t) < ((ax - ux / t) * (ax - ux / t) + (ay - uy / t) * (ay - uy / t)) * (1 - 1e-9))),
+ side AS (SELECT cloud_id, i AS a, j AS b FROM ok UNION SELECT cloud_id, i, k FROM ok UNION SELECT cloud_id, j, k FROM ok),
+ e AS (SELECT s.cloud_id, a, b, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS w FROM side s JOIN q p ON p.cloud_id = s.cloud_id AND p.v = s.a JOIN q ON q.cloud_id = s.cloud_id AND q.v = s.b)"""
+
+
+def weak_alpha_sql(dims: str = "IN (0, 1)") -> str:
+    return diagram(DELAUNAY, flag_cells(VERTICES, "SELECT cloud_id AS id, a, b, w AS f FROM e"), dims=dims)
+
+
+# triangulations are for few dimensions: clouds of the first two coordinates
+@query("ph_weak_alpha_h0", weak_alpha_sql("= 0"))
 def _(spark, sf):
-    return out(ph.weak_alpha(plane(spark, sf), (0,)).filter(F.col("death") < INF))
+    return out(ph.weak_alpha(plane(spark, sf), (0,)))
 
 
-@query("ph_weak_alpha")
+@query("ph_weak_alpha", weak_alpha_sql())
 def _(spark, sf):
     return out(ph.weak_alpha(plane(spark, sf)))
 
 
-@query("ph_cech_h0", h0_sql(0.5, cloud=PLANE))
+#: Of a triangle with half sides f: half the longest side if it is not acute, else the radius of the circumcircle.
+BALL = """CASE WHEN 2 * greatest(x.f, y.f, z.f) * greatest(x.f, y.f, z.f) >= x.f * x.f + y.f * y.f + z.f * z.f THEN greatest(x.f, y.f, z.f)
+  ELSE 2 * x.f * y.f * z.f / sqrt((x.f + y.f + z.f) * (y.f + z.f - x.f) * (x.f + z.f - y.f) * (x.f + y.f - z.f)) END"""
+
+
+def cech_sql(dims: str = "IN (0, 1)") -> str:
+    return diagram(edges_sql(), flag_cells(VERTICES, "SELECT cloud_id AS id, src AS a, dst AS b, w / 2 AS f FROM e", BALL), dims=dims)
+
+
+@query("ph_cech_h0", cech_sql("= 0"))
 def _(spark, sf):
-    return out(ph.cech(plane(spark, sf), (0,)).filter(F.col("death") < INF))
+    return out(ph.cech(tables.clouds(spark, sf), (0,)))
 
 
-@query("ph_cech")
+@query("ph_cech", cech_sql())
 def _(spark, sf):
-    return out(ph.cech(plane(spark, sf)))
+    return out(ph.cech(tables.clouds(spark, sf)))
+
+
+def sparse_sql(eps: float, cloud: str = C) -> str:
+    """Points in the order of farthest next, each with its distance to those before, and edges changed or left out by these radii."""
+    factor = eps * (1 - eps) / 2
+    return diagram(
+        f"""{edges_sql(on="true", cloud=cloud)}, dists AS (SELECT cloud_id, src, list(w ORDER BY dst) AS line FROM e GROUP BY ALL),
+ walk AS (SELECT cloud_id, [0] AS path, ['inf'::DOUBLE] AS radius, line AS gap FROM dists WHERE src = 0 UNION ALL
+  SELECT w.cloud_id, path || [next], radius || [gap[next + 1]], list_transform(list_zip(gap, line), lambda p: least(p[1], p[2])) FROM
+   (SELECT *, list_position(open, list_max(open)) - 1 AS next FROM (SELECT *, list_transform(gap, lambda g, i: CASE WHEN list_contains(path, i - 1) THEN -1 ELSE g END) AS open FROM walk WHERE len(path) < len(gap))) w JOIN dists ON dists.cloud_id = w.cloud_id AND dists.src = w.next),
+ place AS (SELECT cloud_id, unnest(path) AS point_id, generate_subscripts(path, 1) AS spot, unnest(radius) AS radius FROM walk WHERE len(path) = len(gap)),
+ near AS (SELECT e.cloud_id, i.spot AS a, j.spot AS b, i.radius AS ri, j.radius AS rj, CASE WHEN w * {eps!r}::DOUBLE <= 2 * j.radius THEN w WHEN w * {eps!r}::DOUBLE > i.radius + j.radius THEN NULL ELSE (w - j.radius / {eps!r}::DOUBLE) * 2 END AS f, w
+  FROM e JOIN place i ON i.cloud_id = e.cloud_id AND i.point_id = e.src JOIN place j ON j.cloud_id = e.cloud_id AND j.point_id = e.dst WHERE i.spot < j.spot)""",
+        flag_cells("SELECT cloud_id AS id, spot AS v, 0.0::DOUBLE AS f FROM place", f"SELECT cloud_id AS id, a, b, f FROM near WHERE f IS NOT NULL AND f * {factor!r}::DOUBLE <= rj").replace("cell AS (", "raw AS (")
+        + f", cell AS (SELECT * FROM raw WHERE k = 0 OR f * {factor!r}::DOUBLE <= (SELECT min(radius) FROM place WHERE place.cloud_id = raw.id AND list_contains(raw.key, place.spot)))",
+    )
 
 
-@query("ph_sparse_rips_exact_h0", h0_sql())
+@query("ph_sparse_rips_exact_h0", rips_sql(dims="= 0"))
 def _(spark, sf):
-    return out(ph.sparse_rips(tables.clouds(spark, sf), 0.0, (0,)).filter(F.col("death") < INF))
+    return out(ph.sparse_rips(tables.clouds(spark, sf), 0.0, (0,)))
 
 
-@query("ph_sparse_rips")
+@query("ph_sparse_rips", sparse_sql(0.5))
 def _(spark, sf):
     return out(ph.sparse_rips(tables.clouds(spark, sf), 0.5))
 
 
+# points of high dimension are all far apart; in the plane this leaves edges out and makes others longer
+@query("ph_sparse_rips_plane", sparse_sql(0.9, PLANE))
+def _(spark, sf):
+    return out(ph.sparse_rips(plane(spark, sf), 0.9))
+
+
 DIRECTED = "g AS (SELECT user_id AS cloud_id, i AS src, j AS dst, count(*) AS n FROM (SELECT user_id, i, lead(i) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS j FROM (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) - 1 AS i FROM events)) WHERE j <> i GROUP BY ALL)"
 
 
@@ -169,14 +234,14 @@ def _(spark, sf):
     return own[0].unionByName(own[1]).unionByName(own[2])
 
 
-@query("ph_flag_directed")
+@query("ph_flag_directed", diagram(DIRECTED, flag_cells("SELECT DISTINCT cloud_id AS id, unnest([src, dst]) AS v, 0.0::DOUBLE AS f FROM g", "SELECT cloud_id AS id, src AS a, dst AS b, 1.0::DOUBLE / n AS f FROM g")))
 def _(spark, sf):
     return out(ph.flagser(transitions(spark, sf)))
 
 
-@query("ph_flag_undirected_h0", h0_sql())
+@query("ph_flag_undirected", rips_sql())
 def _(spark, sf):
-    return out(ph.flagser(pairwise(tables.clouds(spark, sf)), directed=False, dimensions=(0,)).filter(F.col("death") < INF))
+    return out(ph.flagser(pairwise(tables.clouds(spark, sf)), directed=False))
 
 
 CT = (-0.5, 0.0, 0.5)
@@ -198,7 +263,12 @@ def _(spark, sf):
     return ph.betti_curve_at(ph.cubical(tables.images(spark, sf), (1,)), list(CT)).withColumnRenamed("cloud_id", "img_id")
 
 
-@query("ph_cubical")
+#: All cells of the grid: odd places are pixels' interiors, even ones the lines between.
+CELLS = f"""{I}, cell AS (SELECT img_id AS id, [y, x] AS key, y % 2 + x % 2 AS k, min(v) AS f FROM (SELECT img_id, 2 * r + 1 + dy AS y, 2 * c + 1 + dx AS x, v FROM px, (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx)) GROUP BY ALL)"""
+SIDES = "face AS (SELECT id, key, unnest(CASE WHEN key[1] % 2 = 1 THEN [[key[1] - 1, key[2]], [key[1] + 1, key[2]]] ELSE [] END || CASE WHEN key[2] % 2 = 1 THEN [[key[1], key[2] - 1], [key[1], key[2] + 1]] ELSE [] END) AS fkey FROM cell)"
+
+
+@query("ph_cubical", f"WITH RECURSIVE {CELLS}, {SIDES}, {REDUCED} {report()}")
 def _(spark, sf):
     return out(ph.cubical(tables.images(spark, sf)))
 
@@ -208,20 +278,38 @@ def _(spark, sf):
     return ph.knn_neighborhood(tables.clouds(spark, sf), 4)
 
 
-@query("local_radius_neighborhoods", f"WITH {edges_sql(on=ORDERED)} SELECT cloud_id, src, dst FROM e WHERE w <= 10.5 UNION ALL SELECT cloud_id, point_id, point_id FROM c")
+@query("local_radius_neighborhoods", f"WITH {edges_sql(on=ORDERED)} SELECT cloud_id, src, dst FROM e WHERE w <= 1.4 UNION ALL SELECT cloud_id, point_id, point_id FROM c")
 def _(spark, sf):
-    return ph.radius_neighborhood(tables.clouds(spark, sf), 10.5)
+    return ph.radius_neighborhood(tables.clouds(spark, sf), 1.4)
+
+
+def local_sql(near: str, wide: str) -> str:
+    """Rips of each point's wide neighbourhood with a further vertex that is at 0 to all that are not near."""
+    own = f"""{edges_sql(on=ORDERED)}, n AS ({near}), m AS ({wide}), mem AS (SELECT m.cloud_id, m.src, m.cloud_id * 64 + m.src AS id, m.dst, n.dst IS NOT NULL AS close FROM m LEFT JOIN n ON n.cloud_id = m.cloud_id AND n.src = m.src AND n.dst = m.dst)"""
+    cells = flag_cells(
+        "SELECT id, dst AS v, 0.0::DOUBLE AS f FROM mem UNION ALL SELECT DISTINCT id, 99, 0.0::DOUBLE FROM mem",
+        "SELECT a.id, a.dst AS a, b.dst AS b, e.w AS f FROM mem a JOIN mem b ON b.id = a.id AND b.dst > a.dst JOIN e ON e.cloud_id = a.cloud_id AND e.src = a.dst AND e.dst = b.dst UNION ALL SELECT id, dst, 99, 0.0::DOUBLE FROM mem WHERE NOT close",
+    )
+    return f"WITH RECURSIVE {own}, {cells}, {SIMPLICES}, {REDUCED} SELECT id // 64 AS cloud_id, (id % 64)::INT AS point_id, hdim::INT AS hdim, round(birth, 6) + 0.0 AS birth, round(death, 6) + 0.0 AS death FROM dgm WHERE hdim = 1 AND birth < death"
+
+
+def knn_sql(k: int) -> str:
+    return f"SELECT cloud_id, src, dst FROM e QUALIFY row_number() OVER (PARTITION BY cloud_id, src ORDER BY w, dst) < {k} UNION ALL SELECT cloud_id, point_id, point_id FROM c"
+
+
+def radius_sql(radius: float) -> str:
+    return f"SELECT cloud_id, src, dst FROM e WHERE w <= {radius} UNION ALL SELECT cloud_id, point_id, point_id FROM c"
 
 
-@query("local_knn_rips")
+@query("local_knn_rips", local_sql(knn_sql(3), knn_sql(6)))
 def _(spark, sf):
     d = ph.local_rips(tables.clouds(spark, sf), (3, 6), "knn", dimensions=(1,))
     return d.select("cloud_id", "point_id", "hdim", r("birth").alias("birth"), r("death").alias("death"))
 
 
-@query("local_radius_rips")
+@query("local_radius_rips", local_sql(radius_sql(1.3), radius_sql(1.45)))
 def _(spark, sf):
-    d = ph.local_rips(tables.clouds(spark, sf), (10.0, 11.5), "radius", dimensions=(1,))
+    d = ph.local_rips(tables.clouds(spark, sf), (1.3, 1.45), "radius", dimensions=(1,))
     return d.select("cloud_id", "point_id", "hdim", r("birth").alias("birth"), r("death").alias("death"))
 
 

@@ -91,13 +91,30 @@ def _(spark, sf):
     return ts.mutual_information(tables.series(spark, sf), [1, 2, 3], 8).select("series_id", F.col("delay").cast("long").alias("delay"), r("mi").alias("mi"))
 
 
-@query("ts_takens_search")
+def false_sql(delays: str, dimensions: int) -> str:
+    """(series_id, delay, dimension, n_false): nearest delay vectors by a join of each series with itself. delays: (series_id, delay)."""
+    x = ", ".join(f"(SELECT value FROM z o WHERE o.series_id = z.series_id AND o.i = z.i - {k} * delay) AS x{k}" for k in range(dimensions))
+    far = " UNION ALL ".join(f"SELECT a.series_id, a.delay, a.n, a.sd, a.i, b.i AS o, {d} AS d, {' + '.join(f'(a.x{k} - b.x{k}) * (a.x{k} - b.x{k})' for k in range(d))} AS sq FROM v a JOIN v b ON a.series_id = b.series_id AND a.i <> b.i" for d in range(1, dimensions + 1))
+    return f"""z AS (SELECT series_id, value, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n, stddev_pop(value) OVER (PARTITION BY series_id) AS sd FROM s),
+ v AS (SELECT z.*, delay, {x} FROM z JOIN {delays} USING (series_id)), pr AS ({far}),
+ nn AS (SELECT series_id, delay, n, sd, d, n - (d - 1) * delay AS m, i - (d - 1) * delay AS j, o - (d - 1) * delay AS near, sqrt(sq) AS gap FROM pr WHERE sq IS NOT NULL QUALIFY row_number() OVER (PARTITION BY series_id, d, i ORDER BY sq, o) = 1),
+ hit AS (SELECT g.series_id, g.d FROM nn g JOIN nn h ON h.series_id = g.series_id AND h.d = g.d AND h.j = g.j + g.d * g.delay JOIN z a ON a.series_id = g.series_id AND a.i = h.n - h.m + h.j JOIN z b ON b.series_id = g.series_id AND b.i = h.near
+  WHERE g.gap > 0 AND abs(a.value - b.value) / g.gap > 10 AND g.gap < 2 * g.sd),
+ ff AS (SELECT series_id, delay, d::INT AS dimension, (SELECT count(*) FROM hit WHERE hit.series_id = k.series_id AND hit.d = dims.d) AS n_false FROM (SELECT DISTINCT series_id, delay FROM v) k, (SELECT unnest(range(1, {dimensions + 1})) AS d) dims)"""
+
+
+BEST_DELAY = MI.replace("[1, 2, 3]", "[1, 2]").replace("* 8)", "* 100)").replace("), 7)", "), 99)")
+
+
+@query("ts_takens_search", f"""WITH {BEST_DELAY}, best AS (SELECT series_id, delay FROM m QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY round(mi, 9), delay) = 1), {false_sql("best", 5)},
+ sc AS (SELECT *, abs(n_false - 2 * f1 + f2) / ((f1 + 1) * dimension) AS sc FROM (SELECT *, lead(n_false) OVER w AS f1, lead(n_false, 2) OVER w AS f2 FROM ff WINDOW w AS (PARTITION BY series_id ORDER BY dimension)))
+SELECT series_id, delay::BIGINT AS delay, dimension::BIGINT AS dimension FROM sc WHERE dimension BETWEEN 2 AND 3 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY sc, dimension) = 1""")
 def _(spark, sf):
     found = ts.search_embedding(tables.series(spark, sf), 2, 3)
     return found.select("series_id", F.col("delay").cast("long").alias("delay"), F.col("dimension").cast("long").alias("dimension"))
 
 
-@query("ts_false_neighbours")
+@query("ts_false_neighbours", f"WITH {S}, one AS (SELECT DISTINCT series_id, 1 AS delay FROM s), {false_sql('one', 3)} SELECT series_id, dimension, n_false FROM ff")
 def _(spark, sf):
     return ts.false_neighbours(tables.series(spark, sf), 1, [1, 2, 3])
 
