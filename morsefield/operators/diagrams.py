@@ -6,6 +6,8 @@ pairs from ``frame``. Vectorisations work on one array of points a diagram: one
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,9 +149,37 @@ def _tent(p: Column, t: Column) -> Column:
     return F.greatest(F.lit(0.0), (p["d"] - p["b"]) / 2 - F.abs(t - (p["b"] + p["d"]) / 2))
 
 
-def _gauss(d: Column, sigma: Column) -> Column:
-    """Unnormalised kernel, truncated at 4 standard deviations."""
-    return F.when(F.abs(d) <= F.floor(4 * sigma + 0.5), F.exp(-0.5 * d * d / (sigma * sigma))).otherwise(0.0)
+def _pictures(own: DataFrame, n_bins: int, antisymmetric: bool) -> DataFrame:
+    """own with a column ys: sums of truncated Gaussians at the pixels px (x, y, w), row by row, lifetimes or deaths downwards.
+
+    The kernels are separable: a point is two rows of values, and a picture a product of two matrices. antisymmetric: less
+    its mirror image at the diagonal. Pictures leave the worker a few at a time.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    names = own.columns
+    t = np.arange(n_bins)
+
+    def bumps(at: list, s: float) -> np.ndarray:
+        d = t[None] - np.asarray(at, float)[:, None]
+        return np.where(np.abs(d) <= np.floor(4 * s + 0.5), np.exp(-0.5 * d * d / (s * s)), 0.0)
+
+    def work(batches):
+        for whole in batches:
+            for k in range(0, whole.num_rows, 32):
+                b = whole.slice(k, 32)
+                ys = []
+                for px, sx, sy, scale in zip(*(b.column(names.index(c)).to_pylist() for c in ("px", "sx", "sy", "scale")), strict=True):
+                    if not px:
+                        ys.append(np.zeros(n_bins * n_bins))
+                        continue
+                    m = (bumps([q["y"] for q in px], sy) * np.array([[q["w"]] for q in px])).T @ bumps([q["x"] for q in px], sx)
+                    ys.append((m - m.T if antisymmetric else m)[::-1].ravel() / scale)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ys, pa.list_(pa.float64()))], names=[*names, "ys"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields)
+    return own.mapInArrow(work, f"{schema}, ys array<double>")
 
 
 def _mass(sigma: Column) -> Column:
@@ -175,11 +205,8 @@ def vectors(dgm: DataFrame, metric: str, *, fit: DataFrame | None = None, n_bins
         w = weight or (lambda x: F.lit(1.0))
         pts = F.transform(F.filter("pts", lambda p: life(p) != 0), lambda p: F.struct(pixel(clip(p["b"], F.col("blo"), bmax), "blo", "bstep").alias("x"), pixel(life(p), "llo", "lstep").alias("y")))
         own = own.withColumn("px", F.when(F.col("sb").isNotNull() & F.col("sl").isNotNull(), F.transform(pts, lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"), w(F.col("llo") + q["y"] * F.col("lstep")).alias("w")))))
-        # row i, column j of the picture shows lifetime n - 1 - i, birth j
-        value = lambda i, j: F.aggregate("px", F.lit(0.0), lambda s, q: s + q["w"] * _gauss(j - q["x"], F.col("sb")) * _gauss((n_bins - 1 - i) - q["y"], F.col("sl")))
         scale = F.col("mb") * F.col("ml") * F.col("bstep") * F.col("lstep")
-        cell = F.col("bstep") * F.col("lstep")
-        ready = F.col("px").isNotNull()
+        own = own.select(*KEY, "px", F.col("sb").alias("sx"), F.col("sl").alias("sy"), scale.alias("scale"), (F.col("bstep") * F.col("lstep")).alias("cell"))
     else:
         own = _arrays(dgm, grid(base, n_bins))
         cell = F.col("step")
@@ -201,16 +228,14 @@ def vectors(dgm: DataFrame, metric: str, *, fit: DataFrame | None = None, n_bins
             hi = F.col("lo") + (n_bins - 1) * F.col("step")
             clip = lambda v: F.least(F.greatest(v, F.col("lo")), hi)
             pixel = lambda v: F.floor((clip(v) - F.col("lo")) / F.col("step")).cast("int")
-            pts = F.transform(F.filter("pts", lambda p: clip(p["b"]) != clip(p["d"])), lambda p: F.struct(pixel(p["b"]).alias("x"), pixel(p["d"]).alias("y")))
+            pts = F.transform(F.filter("pts", lambda p: clip(p["b"]) != clip(p["d"])), lambda p: F.struct(pixel(p["b"]).alias("x"), pixel(p["d"]).alias("y"), F.lit(1.0).alias("w")))
             own = own.withColumn("px", F.when(F.col("step") > 0, pts))
-            g = lambda d: _gauss(d, F.col("s"))
-            value = lambda i, j: F.aggregate("px", F.lit(0.0), lambda s, q: s + g(j - q["x"]) * g((n_bins - 1 - i) - q["y"]) - g((n_bins - 1 - i) - q["x"]) * g(j - q["y"]))
-            scale, cell, ready = F.col("m") * F.col("m") * F.col("step") * F.col("step"), F.col("step") * F.col("step"), F.col("px").isNotNull()
+            area = F.col("step") * F.col("step")
+            own = own.select(*KEY, "px", F.col("s").alias("sx"), F.col("s").alias("sy"), (F.col("m") * F.col("m") * area).alias("scale"), area.alias("cell"))
         else:
             raise ValueError(f"no vectorisation {metric!r}")
     if metric in ("heat", "persistence_image"):
-        cells = F.sequence(F.lit(0), F.lit(n_bins * n_bins - 1))
-        ys = F.transform(cells, lambda k: F.when(ready, value(F.floor(k / n_bins).cast("int"), k % n_bins) / scale).otherwise(0.0))
+        return _pictures(own, n_bins, metric == "heat").select(*KEY, "ys", "cell")
     return own.select(*KEY, ys.alias("ys"), cell.alias("cell"))
 
 
@@ -247,31 +272,44 @@ def amplitude(dgm: DataFrame, metric: str = "landscape", *, p: float = 2.0, orde
     return out if order is None else out.groupBy("sample_id").agg(F.pow(F.sum(F.pow("amplitude", F.lit(float(order)))), F.lit(1.0 / order)).alias("amplitude"))
 
 
+def _block_pairs(a: DataFrame, b: DataFrame, same: bool) -> DataFrame:
+    """All pairs of rows of a (i, hdim, ...) and b (j, hdim, ...) of a dimension, dealt in blocks: there are few dimensions.
+
+    same: both are the same diagrams, and only pairs i < j are wanted.
+    """
+    n = max(2, math.isqrt(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left, right = a.withColumn("_bi", block("i")).withColumn("_bj", every), b.withColumn("_bj", block("j")).withColumn("_bi", every)
+    pairs = left.join(right, ["hdim", "_bi", "_bj"]).drop("_bi", "_bj")
+    return pairs.filter("i < j") if same else pairs
+
+
 def distances(dgm: DataFrame, metric: str = "landscape", *, other: DataFrame | None = None, p: float = 2.0, order: float | None = None, **params) -> DataFrame:
     """(i, j, hdim, d) between the diagrams of dgm and of other (default: dgm itself, each pair once and mirrored)."""
     same = other is None
     fit = dgm if same else other
     if metric in ("bottleneck", "wasserstein"):
-        out = _matchings(dgm, fit, metric, p)
+        out = _matchings(dgm, fit, same, metric, p)
     else:
         a = vectors(dgm, metric, fit=fit, **params).select(F.col("sample_id").alias("i"), "hdim", F.col("ys").alias("x"), "cell")
         b = vectors(fit, metric, fit=fit, **params).select(F.col("sample_id").alias("j"), "hdim", F.col("ys").alias("y"))
-        pairs = a.join(b, "hdim")
-        out = (pairs.filter("i < j") if same else pairs).select("i", "j", "hdim", _norm(F.zip_with("x", "y", lambda u, v: u - v), p, F.col("cell")).alias("d"))
+        out = _block_pairs(a, b, same).select("i", "j", "hdim", _norm(F.zip_with("x", "y", lambda u, v: u - v), p, F.col("cell")).alias("d"))
     if same:
+        mirror = F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
         ids = frame(dgm).select(F.col("sample_id").alias("i"), F.col("sample_id").alias("j"), "hdim", F.lit(0.0).alias("d"))
-        out = (out.filter("i < j")).unionByName(out.filter("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "hdim", "d")).unionByName(ids)
+        out = out.select(mirror.alias("_p"), "hdim", "d").select("_p.i", "_p.j", "hdim", "d").unionByName(ids)
     return out if order is None else out.groupBy("i", "j").agg(F.pow(F.sum(F.pow("d", F.lit(float(order)))), F.lit(1.0 / order)).alias("d"))
 
 
-def _matchings(dgm: DataFrame, other: DataFrame, metric: str, p: float) -> DataFrame:
+def _matchings(dgm: DataFrame, other: DataFrame, same: bool, metric: str, p: float) -> DataFrame:
     import pandas as pd
 
     from ..functions import matching
 
     none = F.array().cast("array<struct<b:double,d:double>>")
     lists = lambda df, name: frame(df).join(df.filter("birth <> death").groupBy(*KEY).agg(F.collect_list(F.struct(F.col("birth").alias("b"), F.col("death").alias("d"))).alias("pts")), list(KEY), "left").select(F.col("sample_id").alias(name), "hdim", F.coalesce("pts", none).alias(f"p{name}"))
-    pairs = lists(dgm, "i").join(lists(other, "j"), "hdim").filter("i <> j" if dgm is not other else "i < j")
+    pairs = _block_pairs(lists(dgm, "i"), lists(other, "j"), same)
 
     def work(frames):
         for pdf in frames:

@@ -51,24 +51,45 @@ def _edges_of(points: DataFrame, metric, limit: float, p: float) -> DataFrame:
     return e.unionByName(points.select("cloud_id", F.col("point_id").alias("src"), F.col("point_id").alias("dst"), F.lit(0.0).alias("w")))
 
 
+#: Metrics that kernels compute from coordinates; others, and callables, come as edges.
+MATRIX = {
+    "euclidean": lambda x, p: _euclidean(x),
+    "sqeuclidean": lambda x, p: ((x[:, None] - x[None]) ** 2).sum(-1),
+    "manhattan": lambda x, p: np.abs(x[:, None] - x[None]).sum(-1),
+    "cityblock": lambda x, p: np.abs(x[:, None] - x[None]).sum(-1),
+    "l1": lambda x, p: np.abs(x[:, None] - x[None]).sum(-1),
+    "chebyshev": lambda x, p: np.abs(x[:, None] - x[None]).max(-1, initial=0.0),
+    "minkowski": lambda x, p: (np.abs(x[:, None] - x[None]) ** p).sum(-1) ** (1 / p),
+}
+
+
 def rips(data: DataFrame, metric="euclidean", dimensions: tuple[int, ...] = (0, 1), coeff: int = 2, max_edge_length: float = math.inf, collapse_edges: bool = False, p: float = 2.0) -> DataFrame:
     """Vietoris-Rips persistence of clouds (cloud_id, point_id, coords), or of edges (cloud_id, src, dst, w) with metric 'precomputed'.
 
-    collapse_edges is a hint that changes no diagram.
+    Coordinates go to the kernel, n rows a cloud. Edges longer than the enclosing distance change nothing and are left out;
+    collapse_edges also leaves out or delays dominated ones before cliques are listed, which changes no diagram.
     """
-    edges = data.filter(F.col("w") <= max_edge_length) if metric == "precomputed" else _edges_of(data, metric, max_edge_length, p)
     top = max(dimensions)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = _matrix(pdf)
+    def diagram(cloud, d: np.ndarray) -> pd.DataFrame:
         if top == 0:
             deaths = cx.minimum_spanning(d, max_edge_length)
             found = [(0, 0.0, w) for w in deaths] + [(0, 0.0, math.inf)] * (len(d) - len(deaths))
         else:
-            found = cx.persistence(cx.flag_complex(d, top + 1, max_edge_length), coeff)
-        return _frame(pdf["cloud_id"].iloc[0], (x for x in found if x[0] in dimensions))
+            limit = min(max_edge_length, cx.enclosing_distance(d))
+            found = cx.persistence(cx.flag_complex(cx.collapsed_edges(d, limit) if collapse_edges else d, top + 1, limit), coeff)
+        return _frame(cloud, (x for x in found if x[0] in dimensions))
 
-    return edges.select("cloud_id", "src", "dst", "w").groupBy("cloud_id").applyInPandas(one, OUT)
+    if not callable(metric) and metric in MATRIX:
+
+        def of_points(pdf: pd.DataFrame) -> pd.DataFrame:
+            x = np.array(pdf.sort_values("point_id")["coords"].tolist(), float)
+            return diagram(pdf["cloud_id"].iloc[0], MATRIX[metric](x.reshape(len(pdf), -1), p))
+
+        return data.select("cloud_id", "point_id", "coords").groupBy("cloud_id").applyInPandas(of_points, OUT)
+    edges = data.filter(F.col("w") <= max_edge_length) if metric == "precomputed" else _edges_of(data, metric, max_edge_length, p)
+    of_edges = lambda pdf: diagram(pdf["cloud_id"].iloc[0], _matrix(pdf))
+    return edges.select("cloud_id", "src", "dst", "w").groupBy("cloud_id").applyInPandas(of_edges, OUT)
 
 
 def dtm_weights(points: DataFrame, n_neighbors: int = 3, r: float = 2.0, metric: str = "euclidean") -> DataFrame:
@@ -173,7 +194,7 @@ def cubical(img: DataFrame, dimensions=(0, 1), coeff: int = 2, periodic: tuple[b
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         grid = np.full([int(pdf[a].max()) + 1 for a in ax], np.inf)
         grid[tuple(pdf[a].to_numpy(int) for a in ax)] = pdf["v"]
-        found = cx.persistence(cx.cubical_complex(grid, periodic), coeff)
+        found = cx.pixel_components(grid, periodic) if max(dimensions) == 0 else cx.persistence(cx.cubical_complex(grid, periodic), coeff)
         return _frame(pdf["img_id"].iloc[0], (x for x in found if x[0] in dimensions))
 
     return img.select("img_id", *ax, "v").groupBy("img_id").applyInPandas(one, OUT)

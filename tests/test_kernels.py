@@ -147,3 +147,32 @@ def test_interval_and_validation():
     for bad, error in (({"n": 0}, ValueError), ({"n": "a"}, TypeError), ({"m": 1}, KeyError), ({"xs": ["a"]}, TypeError)):
         with pytest.raises(error):
             validate(bad, rules)
+
+
+def _bars(found, top=1):
+    return sorted((d, round(b, 9), round(e, 9)) for d, b, e in found if d <= top and b < e)
+
+
+def test_edge_collapse_changes_no_diagram():
+    rng = np.random.default_rng(21)
+    fewer = 0
+    for k in range(40):
+        x = rng.normal(size=(rng.integers(2, 16), 2))
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        if k % 4 == 0:  # ties
+            d = np.ceil(d * 3)
+            np.fill_diagonal(d, 0)
+        limit = np.inf if k % 3 else 1.5
+        e = cx.collapsed_edges(d, limit)
+        assert _bars(cx.persistence(cx.flag_complex(e, 3))) == _bars(cx.persistence(cx.flag_complex(d, 3, limit)))
+        assert _bars(cx.persistence(cx.flag_complex(d, 2, min(limit, cx.enclosing_distance(d))))) == _bars(cx.persistence(cx.flag_complex(d, 2, limit)))
+        fewer += np.isfinite(e).sum() < 0.8 * np.isfinite(d).sum()
+    assert fewer > 10
+
+
+def test_components_of_pixels():
+    rng = np.random.default_rng(22)
+    for k in range(30):
+        img = rng.integers(0, 6, size=(rng.integers(1, 6), rng.integers(1, 6)) if k % 3 else (3, 2, 4)).astype(float)
+        wrap = tuple(bool(x) for x in rng.integers(0, 2, img.ndim)) if k % 2 and min(img.shape) > 2 else None
+        assert _bars(cx.pixel_components(img, wrap), 0) == _bars([p for p in cx.persistence(cx.cubical_complex(img, wrap)) if p[0] == 0], 0)

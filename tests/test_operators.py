@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from morsefield.functions import complexes as cx
 from morsefield.operators import curves, graphs, homology, images, mapper, plotdata
 from morsefield.operators import diagrams as dg
 from morsefield.operators import timeseries as ts
@@ -187,3 +188,59 @@ def test_query_against_sql(spark, name):
     cols = sorted(df.columns)
     want = c.sql(f"select {', '.join(f'\"{x}\"' for x in cols)} from ({__spark_entry__.oracle_sql()[name]})").fetchall()
     assert sorted(map(repr, map(tuple, df.select(*cols).collect()))) == sorted(map(repr, want))
+
+
+def test_principal_components(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 5)) * [5, 3, 1, 0.5, 0.1] @ np.linalg.qr(rng.normal(size=(5, 5)))[0] + 7
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point_id long, coords array<double>")
+    got = np.array([[r.f0, r.f1] for r in sorted(mapper.principal(points).collect())])
+    c = x - x.mean(0)
+    axes = np.linalg.svd(c, full_matrices=False)[2][:2]
+    want = c @ axes.T
+    assert np.allclose(np.abs(got), np.abs(want))
+    assert all(a[np.abs(a).argmax()] > 0 for a in (np.linalg.lstsq(c, got, rcond=None)[0]).T)
+    nodes, edges = mapper.MapperPipeline(n_intervals=3, clusterer=lambda y: mapper.dbscan(y, 4.0, 2)).fit_transform(points)
+    assert nodes.count() > 1 and set(edges.columns) == {"src", "dst", "weight"}
+
+
+def test_ranks_by_ranges(spark):
+    rng = np.random.default_rng(5)
+    v = rng.integers(0, 300, 1000).tolist() + [None]
+    df = spark.createDataFrame([(None if x is None else float(x),) for x in v], "value double")
+    want = {float(x): float(k) for k, x in enumerate(sorted({x for x in v if x is not None}))}
+    assert {r.value: r.rank for r in mapper.dense_ranks(df).collect()} == want
+
+
+def test_clusterers_with_weights(spark):
+    x = np.array([[0.0], [0.1], [0.2], [5.0], [5.1], [9.0]])
+    assert mapper.kmeans(x, 3).tolist() == [0, 0, 0, 1, 1, 2]
+    assert mapper.kmeans(x, 9).tolist() == [0, 1, 2, 3, 4, 5]
+    assert mapper.kmeans(np.array([[0.0], [1.0], [3.0]]), 1, weights=np.array([1, 0, 1])).tolist() == [0, 0, 0]
+    for linkage in ("single", "complete", "average", "ward"):
+        assert mapper.agglomerative(x, 3, linkage).tolist() == [0, 0, 0, 1, 1, 2]
+    assert mapper.agglomerative(x, linkage="single", distance_threshold=1.0).tolist() == [0, 0, 0, 1, 1, 2]
+    assert mapper.dbscan(x, 0.5, 3).tolist() == [0, 0, 0, -1, -1, -1]
+    assert mapper.dbscan(x, 0.5, 3, weights=np.array([1, 1, 1, 2, 1, 3])).tolist() == [0, 0, 0, 1, 1, 2]
+    points = spark.createDataFrame([(i, v.tolist(), w) for i, (v, w) in enumerate(zip(x, [1.0, 1.0, 1.0, 2.0, 1.0, 3.0], strict=True))], "point_id long, coords array<double>, w double")
+    cover = points.select("point_id", F.lit(0).alias("set_id"))
+    got = mapper.cluster_sets(points, cover, lambda y, weights: mapper.dbscan(y, 0.5, 3, weights=weights), "w")
+    assert [r.label for r in sorted(got.collect())] == [0, 0, 0, 1, 1, 2]
+
+
+def test_distances_to_other_diagrams(spark):
+    """Samples of the two collections may have the same number; all pairs count."""
+    a = [(0, 0, 0.0, 1.0), (1, 0, 0.0, 2.0)]
+    b = [(0, 0, 0.0, 4.0), (1, 0, 0.0, 1.0)]
+    left, right = (spark.createDataFrame(x, "sample_id long, hdim int, birth double, death double") for x in (a, b))
+    got = {(r.i, r.j): round(r.d, 9) for r in dg.distances(left, "bottleneck", other=right).collect()}
+    assert got == {(0, 0): 2.0, (0, 1): 0.0, (1, 0): 2.0, (1, 1): 1.0}
+    own = {(r.i, r.j): round(r.d, 9) for r in dg.distances(left, "bottleneck").collect()}
+    assert own == {(0, 0): 0.0, (1, 1): 0.0, (0, 1): 1.0, (1, 0): 1.0}
+
+
+def test_sparse_filtration_leaves_edges_out():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(10, 2))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    assert len(cx.sparse_rips(d, 0.9, 1)) < len(cx.flag_complex(d, 1))
