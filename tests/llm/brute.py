@@ -79,7 +79,7 @@ def components(ids, links):
     return {i: find(i) for i in ids}
 
 
-def op6(docs):
+def op6(docs, percent=85):
     """docs: {doc_id: text}. {doc_id: (n_shingles, component_id)}"""
     sets = {k: shingles(v) for k, v in docs.items()}
     by = {}
@@ -91,7 +91,7 @@ def op6(docs):
         for i, a in enumerate(ks):
             for b in ks[i + 1 :]:
                 shared[a, b] += 1
-    links = [(a, b) for (a, b), n in shared.items() if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n)]
+    links = [(a, b) for (a, b), n in shared.items() if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)]
     comp = components(docs, links)
     return {k: (len(sets[k]), comp[k]) for k in docs}
 
@@ -99,12 +99,12 @@ def op6(docs):
 def op5(docs, length=400):
     """docs: list of texts. For each the list of maximal removed runs and the bytes that remain."""
     data = [(t or "").encode() for t in docs]
-    seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    seen = Counter(hash(d[i : i + length]) for d in data for i in range(len(d) - length + 1))  # the strings themselves would be gigabytes
     out = []
     for d in data:
         gone = bytearray(len(d))
         for i in range(len(d) - length + 1):
-            if seen[d[i : i + length]] > 1:
+            if seen[hash(d[i : i + length])] > 1:
                 gone[i : i + length] = b"\1" * length
         runs = [(m.start(), m.end()) for m in re.finditer(b"\1+", bytes(gone))]
         out.append((runs, bytes(c for c, g in zip(d, gone, strict=True) if not g)))
@@ -130,3 +130,13 @@ def op4_base(text):
         p = phrase.split()
         at += [(i, label) for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
     return len(w), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at}))
+
+
+def shares_passage(docs, words=51):
+    """docs: list of texts. For each whether another one has ``words`` of its words in a row."""
+    w = [WORD.findall(t or "") for t in docs]
+    of = {}
+    for i, x in enumerate(w):
+        for k in range(len(x) - words + 1):
+            of.setdefault(hash(tuple(x[k : k + words])), set()).add(i)
+    return [any(len(of[hash(tuple(x[k : k + words]))]) > 1 for k in range(len(x) - words + 1)) for x in w]

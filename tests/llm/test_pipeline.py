@@ -32,7 +32,7 @@ def test_stages_and_run(spark, tmp_path):
     assert texts[2] == {k: w[2] for k, w in zip(texts[1], want, strict=True)}
     assert all(r["n_chars"] == len(r["text"]) for r in rows[2] if r["text"] != texts[1][r["doc_id"]])
 
-    comp = brute.op6(texts[2])
+    comp = brute.op6(texts[2], 80)  # the stage's threshold
     assert set(texts[3]) == {k for k, (_, c) in comp.items() if c == k}
 
     size = {k: len(brute.WORD.findall(t)) for k, t in texts[3].items()}
@@ -64,3 +64,29 @@ def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).collect() == []
+
+
+def test_edges(spark):
+    """Nulls in every column, repeated rows and ids, ties, a very long text, and columns whose names clash with the operators' own."""
+    good = [" ".join(f"w{(17 * i + 31 * k) % 997}" for k in range(60)) for i in range(30)]
+    rows = [(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(good)]
+    rows += [(100, None, None, None, None), (101, "", "en", "s0", 0), (None, "no id " + " ".join(f"n{k}" for k in range(40)), None, None, None)]
+    rows += [(5, good[5], "en", "s1", 1), (102, good[7], "en", "s1", 2), (103, good[7].upper(), None, "s0", 3)]
+    rows += [(104, "long " + " ".join(f"x{k}" for k in range(60_000)), "en", "s0", 4)] + [(200 + k, f"tie{k} " * 1 + " ".join(f"t{k}_{j}" for j in range(30)) + "\nshared line", "en", "s1", 5) for k in range(12)]
+    extra = "kept boolean, size long, bucket int, _mix_copy int, _quality_statistics int, component_id long, _lost long, piece int, ids string"
+    df = spark.createDataFrame([(*r, False, 1, 2, 3, 4, 5, 6, 7, "k") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + extra)
+    states = [df]
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, states[-1], SF)
+        states.append(spark.createDataFrame(out.collect(), out.schema))
+    ids = [Counter(r.doc_id for r in s.collect()) for s in states]
+    assert all(s.columns == df.columns for s in states[:5])
+    assert 100 not in ids[1] and 101 not in ids[1] and ids[1][5] == 2 and ids[1][None] == 1
+    assert all("shared line" not in (r.text or "") for r in states[2].collect())
+    assert ids[3][7] == 1 and 102 not in ids[3] and 103 not in ids[3] and ids[3][5] == 2 and ids[3][None] == 1 and ids[3][104] == 1
+    assert set(ids[4]) <= set(ids[3])
+    by = defaultdict(int)
+    for r in states[5].collect():
+        assert 0 < r.length <= 2048 and r.offset + r.length <= 2048
+        by[r.sequence_id] += r.length
+    assert all(n <= 2048 for n in by.values()) and set(ids[5]) == set(ids[4])
