@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, cut, table
+from ._common import bounded_batches, cut, lean, table
 
 ROOM = 2048
 END = 0
@@ -39,7 +39,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Characters whose classes are the same in every library: others are left to the tokenizer's own splitting.
 _PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]*")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-CACHE = 200_000
+_GAP = re.compile(r"(?<=\S) (?=\S)")
+#: Pre-tokens that an encoder remembers, and characters of a long text that it encodes at a time.
+CACHE = 60_000
+PART = 1 << 15
 
 
 def tokenizer_path() -> str:
@@ -70,6 +73,17 @@ class Encoder:
         return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if len(text) <= 2 * PART:
+            return self._part(text)
+        # a space between two other characters begins a pre-token whatever stands around it, so parts are encoded one by one
+        cuts, at = [0], PART
+        while m := _GAP.search(text, at):
+            cuts.append(m.start())
+            at = m.start() + PART
+        cuts.append(len(text))
+        return b"".join(self._part(text[f:t]) for f, t in zip(cuts, cuts[1:], strict=False))
+
+    def _part(self, text: str) -> bytes:
         if not text:
             return b""
         if not _PLAIN.fullmatch(text):
@@ -143,7 +157,7 @@ def pieces(docs: DataFrame, *, path: str, room: int = ROOM, end: int = END, ids:
             yield pa.RecordBatch.from_arrays(arrays[: 5 + ids], names=names[: 5 + ids])
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, PIECES + ", ids binary" * ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(work), PIECES + ", ids binary" * ids)
 
 
 def plan(histogram: dict[int, int], room: int = ROOM) -> list[tuple[int, int, int, int, int]]:
@@ -237,7 +251,7 @@ def pack(docs: DataFrame, *, path: str | None = None, room: int = ROOM, end: int
             yield pa.RecordBatch.from_arrays(arrays, names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields)
-    return ranked.select(*names, "bucket", "before").mapInArrow(place, schema + ", sequence_id long, offset long")
+    return ranked.select(*names, "bucket", "before").mapInArrow(lean(place), schema + ", sequence_id long, offset long")
 
 
 def _before():

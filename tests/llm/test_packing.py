@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -140,3 +141,17 @@ def test_query_rows_of_texts_with_added_tokens(spark):
         assert (r.start, r.length) in packing.cut_pieces(len(full))
         assert r.ids_crc32 == zlib.crc32(np.array(full[r.start : r.start + r.length], "<u4").tobytes())
     assert len(out) == sum(len(packing.cut_pieces(len(x) + 1)) for x in ids.values())
+
+
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    reference = Tokenizer.from_file(path)
+    rng = random.Random(12)
+    parts = ["a", " b", "  c", " it's", "'re", "\n", " \n", "\t", " 12", "3", " ,", ".", "\x1c", "\x1c x", "\x85", "\xa0y", " \xa0", "é", " ＡＢ", "☃ ☃", "<|endoftext|>", " ", "z" * 60]
+    monkeypatch.setattr(packing, "PART", 20)
+    encode = packing.MarkedEncoder(path)
+    for _ in range(400):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(150)))
+        assert np.frombuffer(encode(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids, text
