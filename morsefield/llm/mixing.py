@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import cut, small, table, words_of
+from ._common import Scratch, cut, free_name, small, table, words_of
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -88,40 +88,43 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
 
 def mix_plan(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, source, size, h) and (plan: source, source_size, target, passes, threshold)."""
-    rows = docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("h"))
-    rows = cut(rows, "sizes")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = cut(targets(sizes, weights=weights, share=share, cap=cap), "targets")
-    goal = goal.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)))).otherwise(0))
-    budgets = goal.select("source", (F.col("target") - F.col("passes") * F.col("source_size")).alias("budget"))
-    limits = thresholds(rows, budgets).withColumnRenamed("source", "_s")
-    plan = goal.join(limits, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    return rows, cut(plan, "mix")
+    with Scratch(docs.sparkSession) as own:
+        rows = docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("h"))
+        rows = own.keep(cut(rows, "sizes"))
+        sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+        goal = cut(targets(sizes, weights=weights, share=share, cap=cap), "targets")
+        goal = goal.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)))).otherwise(0))
+        budgets = goal.select("source", (F.col("target") - F.col("passes") * F.col("source_size")).alias("budget"))
+        limits = thresholds(rows, budgets).withColumnRenamed("source", "_s")
+        plan = goal.join(limits, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        return rows, own.keep(cut(plan, "mix"))
 
 
-def _with_plan(rows: DataFrame, plan: DataFrame, source: str = "source") -> DataFrame:
-    own = small(plan.select(*(F.col(c).alias(f"_mix_{c}") for c in plan.columns)))
-    return rows.join(own, F.col(source).eqNullSafe(F.col("_mix_source")), "left")
+def _with_plan(rows: DataFrame, plan: DataFrame, mark: str) -> DataFrame:
+    """rows with the columns of their source's plan, named with ``mark`` in front."""
+    own = small(plan.select(*(F.col(c).alias(f"{mark}{c}") for c in plan.columns)))
+    return rows.join(own, F.col("source").eqNullSafe(F.col(f"{mark}source")), "left")
 
 
-def copies(h: Column) -> Column:
-    return (F.col("_mix_passes") + (h < F.col("_mix_threshold")).cast("long")).cast("int")
+def copies(h: Column, mark: str) -> Column:
+    return (F.col(f"{mark}passes") + (h < F.col(f"{mark}threshold")).cast("long")).cast("int")
 
 
 def mix_report(docs: DataFrame, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken, a row for each input row."""
     rows, plan = mix_plan(docs, **how)
-    return _with_plan(rows, plan).select(
-        "doc_id", "size", F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("size") * copies(F.col("h"))).alias("taken")
+    return _with_plan(rows, plan, "_m_").select(
+        "doc_id", "size", F.col("_m_source_size").alias("source_size"), F.col("_m_target").alias("target"), (F.col("size") * copies(F.col("h"), "_m_")).alias("taken")
     )
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken; rows of size 0 are left out."""
     _, plan = mix_plan(docs, **how)
-    n = F.when(F.length(F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))) > 0, copies(row_hash(F.col("doc_id"), F.col("text")))).otherwise(0)
-    own = _with_plan(docs, plan)
-    return own.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), n))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    mark = free_name(docs, "_mix_")
+    n = F.when(F.length(F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))) > 0, copies(row_hash(F.col("doc_id"), F.col("text")), mark)).otherwise(0)
+    own = _with_plan(docs, plan, mark)
+    return own.withColumn(f"{mark}copy", F.explode(F.array_repeat(F.lit(0), n))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cut, let, table, words_of
+from ._common import Scratch, cut, free_name, let, table, words_of
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
@@ -166,8 +166,13 @@ def cover(cells: np.ndarray, weights: np.ndarray, cuts: list[list[float]], *, mi
     return rules
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, min_precision: float = 0.9, min_rows: int = 6, max_rules: int = 12, max_conditions: int = 4) -> list[Rule]:
-    """The decision list for documents of quality 0. The sample has the labels of smallest hash of doc_id."""
+def learn(docs: DataFrame, labels: DataFrame, **how) -> list[Rule]:
+    """The decision list for documents of quality 0. The sample has the labels of smallest hash of doc_id; how: see _learned."""
+    with Scratch(docs.sparkSession):
+        return _learned(docs, labels, **how)
+
+
+def _learned(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, min_precision: float = 0.9, min_rows: int = 6, max_rules: int = 12, max_conditions: int = 4) -> list[Rule]:
     chosen = labels.filter("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").alias("_id"), F.col("quality").alias("_bad"))
     chosen = chosen.groupBy("_id").agg((F.min("_bad") == 0).cast("long").alias("_bad")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     seen = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(chosen), "_id")
@@ -210,7 +215,7 @@ def quality_report(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def keep_by_quality(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of docs that the base and the list keep, with their columns as they are."""
-    mark = "_quality_statistics"
+    mark = free_name(docs, "_quality_statistics")
     kept = with_statistics(docs, mark)
     return kept.filter(~base_failed(mark) & decision(rules, mark).isNull()).select(*(F.col(f"`{c}`") for c in docs.columns))
 
