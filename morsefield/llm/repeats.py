@@ -17,7 +17,8 @@ therefore lie in stretches of the same anchor gram, and stretches are what is co
    counted by an ordinary aggregation, then, for the blocks that are only partly repeated, one by one. That
    gives the same marks, so the crowd size decides about speed only.
 
-Marks are joined back to all stretches of the kind, and each text gets the union of its marks.
+The marks of a kind are one range, as all its windows hold the anchor. Ranges are joined back to all stretches of the
+kind, one row each at most, and each text gets the union of its ranges.
 
 Defined results. Null text counts as empty; texts shorter than ``length`` have nothing removed, and lengths are in
 UTF-8 bytes. Overlapping occurrences and those in the same text count. Rows are occurrences of their own even if they
@@ -33,18 +34,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, cut, table
+from ._common import Scratch, cut, document_rows, lean, signed, table, text_key
 from ._shingles import mix, prefix_hashes, range_hashes
+from .passages import WORDS, shared_stretches
 
 LENGTH = 400
 GRAM = 50
 CROWD = 500
 BLOCK = 16
-CHUNK = 1 << 20
+#: Windows that are looked at at a time.
+CHUNK = 1 << 17
 
 
 # --- in memory: enhanced suffix array -------------------------------------------------------------------------------
@@ -149,19 +153,6 @@ def stretches(data: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
         yield h[a], whole, s + at, e - s + length, a - s
 
 
-def _key(doc_id: int | None, data: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(data + b"|" + str(doc_id).encode())
-
-
-def _signed(v) -> pa.Array:
-    return pa.array(np.asarray(v, np.uint64).view(np.int64))
-
-
-def _rows(docs: DataFrame) -> DataFrame:
-    bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-
-
 def _all_stretches(docs: DataFrame, length: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,15 +160,15 @@ def _all_stretches(docs: DataFrame, length: int) -> DataFrame:
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = t.as_py()
                 if len(data) >= length:
-                    k = _key(d, data)
+                    k = text_key(d, data)
                     for own in stretches(data, length):
                         parts.append(own)
                         keys.append(np.full(len(own[0]), k, np.uint64))
             if parts:
                 anchor, whole, first, n, before = (np.concatenate(c) for c in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), _signed(anchor), _signed(whole), pa.array(first), pa.array(n.astype(np.int32)), pa.array(before.astype(np.int32))], names=["key", "anchor", "whole", "first", "size", "before"])
+                yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), signed(anchor), signed(whole), pa.array(first), pa.array(n.astype(np.int32)), pa.array(before.astype(np.int32))], names=["key", "anchor", "whole", "first", "size", "before"])
 
-    return _rows(docs).mapInArrow(work, "key long, anchor long, whole long, first long, size int, before int")
+    return document_rows(docs).mapInArrow(lean(work), "key long, anchor long, whole long, first long, size int, before int")
 
 
 def _bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -186,7 +177,7 @@ def _bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([_signed([_key(d, x) for d, x in zip(b.column(0).to_pylist(), t, strict=True)]), b.column(1)], names=["key", "text"])
+            yield pa.RecordBatch.from_arrays([signed([text_key(d, x) for d, x in zip(b.column(0).to_pylist(), t, strict=True)]), b.column(1)], names=["key", "text"])
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -197,9 +188,9 @@ def _bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=["anchor", "whole", "before", "crowded", "bytes"])
 
-    texts = _rows(docs).mapInArrow(keyed, "key long, text binary")
+    texts = document_rows(docs).mapInArrow(lean(keyed), "key long, text binary")
     own = wanted.groupBy("key").agg(F.collect_list(F.struct("anchor", "whole", "first", "size", "before", "crowded")).alias("own"))
-    found = texts.join(own, "key").select("text", "own").mapInArrow(take, "anchor long, whole long, before int, crowded boolean, bytes binary")
+    found = texts.join(own, "key").select("text", "own").mapInArrow(lean(take), "anchor long, whole long, before int, crowded boolean, bytes binary")
     return found
 
 
@@ -232,7 +223,7 @@ def _by_suffix_array(kinds: DataFrame, length: int) -> DataFrame:
 
     own = kinds.filter("not crowded").select("anchor", "whole", "before", "bytes")
     parts = int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return own.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(work, "anchor long, whole long, from int, to int")
+    return own.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(lean(work), "anchor long, whole long, from int, to int")
 
 
 def _by_blocks(kinds: DataFrame, blocks: DataFrame | None, step: int, length: int) -> DataFrame:
@@ -262,12 +253,12 @@ def _by_blocks(kinds: DataFrame, blocks: DataFrame | None, step: int, length: in
                         rows.append((anchor, whole, before - t, before - f + length, o, xxhash.xxh3_64_intdigest(tag + core), xxhash.xxh3_64_intdigest(tag + f.to_bytes(4, "little", signed=True) + part)))
             cols = list(zip(*rows, strict=True)) or [()] * 7
             arrays = [pa.array(c, t) for c, t in zip(cols[:5], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*arrays, _signed(np.array(cols[5], np.uint64)), _signed(np.array(cols[6], np.uint64))], names=["anchor", "whole", "from", "to", "o", "core", "part"])
+            yield pa.RecordBatch.from_arrays([*arrays, signed(np.array(cols[5], np.uint64)), signed(np.array(cols[6], np.uint64))], names=["anchor", "whole", "from", "to", "o", "core", "part"])
 
     own = kinds.filter("crowded").select("anchor", "whole", "before", "bytes")
     if blocks is not None:
         own = own.join(blocks, ["anchor", "whole"])
-    return own.mapInArrow(work, "anchor long, whole long, from int, to int, o int, core long, part long")
+    return own.mapInArrow(lean(work), "anchor long, whole long, from int, to int, o int, core long, part long")
 
 
 def _crowds(kinds: DataFrame, length: int) -> DataFrame:
@@ -296,9 +287,11 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH) -> DataFrame:
     seen = cut(_bytes_of(docs, wanted).dropDuplicates(["anchor", "whole"]), "seen")
     found = kinds.filter("n > 1").select("anchor", "whole", F.lit(0).alias("from"), F.col("size").alias("to"))
     found = found.unionByName(_by_suffix_array(seen, length)).unionByName(_crowds(seen, length))
-    placed = every.select("key", "anchor", "whole", "first").join(cut(found, "marks"), ["anchor", "whole"])
+    # all windows of a stretch hold its anchor, so the union of its marks is one range
+    found = cut(found.groupBy("anchor", "whole").agg(F.min("from").alias("from"), F.max("to").alias("to")), "marks")
+    placed = every.select("key", "anchor", "whole", "first").join(found, ["anchor", "whole"])
     spans = F.struct((F.col("first") + F.col("from")).alias("from"), (F.col("first") + F.col("to")).alias("to"))
-    return placed.groupBy("key").agg(F.array_sort(F.collect_list(spans)).alias("spans"))
+    return placed.groupBy("key").agg(F.array_sort(F.collect_set(spans)).alias("spans"))  # equal rows of a table have one key
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -311,14 +304,25 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(f, t) for f, t in out]
 
 
-def repeat_report(docs: DataFrame, *, length: int = LENGTH, kept: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, a row for each input row; with kept also the bytes that stay."""
-    spans = cut(repeated_spans(docs, length=length), "spans")
+def repeat_report(docs: DataFrame, *, length: int = LENGTH, kept: bool = False, words: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, a row for each input row; with kept also the bytes that stay.
+
+    With words also n_shared (stretches with a passage of so many words that another document has) and shares_passage.
+    """
+    with Scratch(docs.sparkSession) as own:
+        by_key = repeated_spans(docs, length=length)
+        if words:
+            shared = shared_stretches(docs, words=words).select("key", F.lit(None).cast("array<struct<from:long,to:long>>").alias("spans"), "n_shared")
+            by_key = by_key.select("key", F.col("spans").cast("array<struct<from:long,to:long>>").alias("spans"), F.lit(None).cast("long").alias("n_shared")).unionByName(shared)
+            by_key = by_key.groupBy("key").agg(F.first("spans", ignorenulls=True).alias("spans"), F.max("n_shared").alias("n_shared"))
+        else:
+            by_key = by_key.withColumn("n_shared", F.lit(None).cast("long"))
+        spans = own.keep(cut(by_key, "spans"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), _signed([_key(d, x) for d, x in zip(b.column(0).to_pylist(), t, strict=True)]), b.column(1)], names=["doc_id", "key", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), signed([text_key(d, x) for d, x in zip(b.column(0).to_pylist(), t, strict=True)]), b.column(1)], names=["doc_id", "key", "text"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -330,14 +334,18 @@ def repeat_report(docs: DataFrame, *, length: int = LENGTH, kept: bool = False)
                 rest = b"".join(data[f:t] for f, t in zip(ends[::2], ends[1::2], strict=True))
                 rows.append((len(data), len(data) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), rest if kept else None))
             cols = list(zip(*rows, strict=True)) or [()] * 5
-            arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-            yield pa.RecordBatch.from_arrays([b.column(0), *arrays[: 4 + kept]], names=names[: 5 + kept])
+            out = dict(zip(["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"], (pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)), strict=True))
+            if not kept:
+                out.pop("kept")
+            if words:
+                n = b.column(3).fill_null(0)
+                out |= {"n_shared": n, "shares_passage": pc.greater(n, 0)}
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), **out})
 
-    texts = _rows(docs).mapInArrow(keyed, "doc_id long, key long, text binary")
-    both = texts.join(spans, "key", "left").select("doc_id", "text", "spans")
-    return both.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept)
+    texts = document_rows(docs).mapInArrow(lean(keyed), "doc_id long, key long, text binary")
+    both = texts.join(spans, "key", "left").select("doc_id", "text", "spans", "n_shared")
+    return both.mapInArrow(lean(work), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept + ", n_shared long, shares_passage boolean" * bool(words))
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeat_report(table(spark, sf_dir, "documents"))
+    return repeat_report(table(spark, sf_dir, "documents"), words=WORDS)
