@@ -6,7 +6,7 @@ all N texts at all, seeing t reveals e with P(e | t) = (c(t, e) + ``prior`` * P(
 the information it gives is log2(P(e | t) / P(e)) bits. The prior takes the place of a least number of texts: one text
 with its only entity gives 2/3, and removal takes five. All are counts of whole texts, of any length, and of words that
 touch no entity of the text. Terms with P(e | t) of at least ``disclosure`` and at least ``min_bits`` bits are generalised
-(replaced by their kind) wherever they stand, and removed if P(e | t) reaches ``removal``. Equal texts count once, since
+(spans of kind ``term``, replaced by it) wherever they stand, and removed (spans of kind ``removed``) if P(e | t) reaches ``removal``. Equal texts count once, since
 a copy is no new evidence.
 
 All is built-in expressions: texts are split by a pattern, so that the lengths of the pieces give the places of the
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WS_RE, cut, let, small, table, words_of
+from ._common import WS_RE, Scratch, cut, let, small, table, words_of
 
 LOCAL = "A-Za-z0-9._%+-"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -43,6 +43,8 @@ PRIOR = 0.5
 DISCLOSURE = 0.5
 REMOVAL = 0.9
 MIN_BITS = 4.0
+#: Kinds of the spans of terms.
+GENERALISED, REMOVED = "term", "removed"
 NO_SPANS = "array<struct<kind:string,start:int,end:int,text:string>>"
 
 
@@ -102,6 +104,11 @@ def kind_spans(text: Column, kind: str) -> Column:
     return F.when(_possible(kind, text), let(found, placed)).otherwise(F.array().cast(NO_SPANS))
 
 
+def text_id(text: Column) -> Column:
+    """128 bits by which equal texts are known."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+
+
 def with_base_spans(rows: DataFrame) -> DataFrame:
     """rows with _text: adds one column for each kind; a one-element explode keeps them from being worked out again."""
     kinds = F.struct(*(kind_spans(F.col("_text"), k).alias(k) for k in PATTERNS))
@@ -154,7 +161,8 @@ def disclosing_terms(rows: DataFrame, near: DataFrame, *, prior: float = PRIOR,
     """(term, n, f, far, disclosure, bits) of the terms that reveal some entity; far is the number of texts without one. near: contexts(rows)."""
     copies = cut(rows.groupBy("_t").agg(F.count(F.lit(1)).alias("_m")), "copies")
     total = float(copies.count())
-    counted = lambda what: near.select("_t", F.explode(what).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("_t").alias("f"))
+    print_ = F.struct(F.bit_xor("_t.a").alias("a"), F.bit_xor("_t.b").alias("b"))
+    counted = lambda what: near.select("_t", F.explode(what).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"), print_.alias("f"))
     # m equal texts count 1/m each, so the sums are whole but for rounding
     often = small(copies.filter("_m > 1").withColumnRenamed("_t", "_c"), MANY_ROWS)
     plain = _plain(rows).select("_t", "_text").join(often, F.col("_t") == F.col("_c"), "left")
@@ -184,7 +192,7 @@ def _placed(texts: DataFrame, hits: DataFrame) -> DataFrame:
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + x["gap"]
         end = start + F.length(x["w"])
-        kind = F.when(F.element_at(F.col("_hits"), x["w"]), "gone").otherwise("term")
+        kind = F.when(F.element_at(F.col("_hits"), x["w"]), REMOVED).otherwise(GENERALISED)
         mine = F.struct(kind.alias("kind"), start.alias("start"), end.alias("end"), x["w"].alias("text"))
         return F.struct(end.alias("at"), F.when(F.map_contains_key(F.col("_hits"), x["w"]), F.concat(a["out"], F.array(mine))).otherwise(a["out"]).alias("out"))
 
@@ -217,16 +225,17 @@ def with_spans(docs: DataFrame, **how) -> DataFrame:
     """doc_id, _text, _spans (base, by kind) and _terms (spans of terms), a row for each input row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id"), text.alias("_text"))
-    rows = with_base_spans(rows.withColumn("_t", F.xxhash64("_text")))
-    near = contexts(rows)
-    none = F.array().cast(NO_SPANS)
-    if not near.head(1):
-        return rows.withColumn("_terms", none)
-    terms = cut(disclosing_terms(rows, near, **how), "terms")
-    if not terms.head(1):
-        return rows.withColumn("_terms", none)
-    found = cut(term_spans(rows, near, terms), "found").toDF("_f_t", "_f")
-    return rows.join(found, rows["_t"] == found["_f_t"], "left").withColumn("_terms", F.coalesce("_f", none)).drop("_f_t", "_f")
+    rows = with_base_spans(rows.withColumn("_t", text_id(F.col("_text"))))
+    with Scratch(docs.sparkSession) as own:
+        near = contexts(rows)
+        none = F.array().cast(NO_SPANS)
+        if not near.head(1):
+            return rows.withColumn("_terms", none)
+        terms = cut(disclosing_terms(rows, near, **how), "terms")
+        if not terms.head(1):
+            return rows.withColumn("_terms", none)
+        found = own.keep(cut(term_spans(rows, near, terms), "found")).toDF("_f_t", "_f")
+        return rows.join(found, rows["_t"] == found["_f_t"], "left").withColumn("_terms", F.coalesce("_f", none)).drop("_f_t", "_f")
 
 
 def privacy_report(docs: DataFrame, **how) -> DataFrame:
@@ -237,7 +246,7 @@ def privacy_report(docs: DataFrame, **how) -> DataFrame:
         "doc_id",
         *(F.size(f"_spans.{k}").cast("long").alias(f"n_{k}") for k in PATTERNS),
         F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"),
-        F.array_join(F.concat(base, _said(F.col("_terms"), "term")), ",").alias("spans"),
+        F.array_join(F.concat(base, _said(F.col("_terms"))), ",").alias("spans"),
     )
 
 
@@ -252,7 +261,7 @@ def sanitise(docs: DataFrame, **how) -> DataFrame:
 
     def step(a: Column, x: Column) -> Column:
         gap = F.substring(F.col("_text"), a["at"] + 1, F.greatest(x["start"] - a["at"], F.lit(0)))
-        tag = F.when((x["kind"] == "gone") | (x["end"] <= a["at"]) | (x["start"] < a["at"]), F.lit("")).otherwise(F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")))
+        tag = F.when((x["kind"] == REMOVED) | (x["end"] <= a["at"]) | (x["start"] < a["at"]), F.lit("")).otherwise(F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")))
         return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.concat(a["out"], F.array(gap, tag)).alias("out"))
 
     rest = lambda a: F.array_join(F.concat(a["out"], F.array(F.substring(F.col("_text"), a["at"] + 1, F.length("_text")))), "")
