@@ -35,20 +35,44 @@ def knn_graph(points: DataFrame, n_neighbors: int = 4, mode: str = "connectivity
     return e if mode == "distance" else e.withColumn("w", F.lit(1.0))
 
 
+def shortest_paths(n: int, s: np.ndarray, t: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """All shortest paths of n vertices with edges s -> t of lengths w >= 0, inf where there is none.
+
+    Sparse graphs: all edges into a vertex are relaxed at once, for a block of sources at a time, until nothing changes.
+    Dense ones: by allowing one more vertex on the way after another.
+    """
+    if 8 * len(s) >= n * n:
+        d = np.full((n, n), np.inf)
+        np.minimum.at(d, (s, t), w)
+        np.fill_diagonal(d, 0)
+        for k in range(n):
+            np.minimum(d, d[:, k, None] + d[None, k], out=d)
+        return d
+    order = np.argsort(t, kind="stable")
+    s, t, w = s[order], t[order], w[order]
+    into, first = np.unique(t, return_index=True)
+    out = np.full((n, n), np.inf)
+    np.fill_diagonal(out, 0)
+    for k in range(0, n if len(s) else 0, 256):
+        d = out[k : k + 256]
+        while True:
+            new = np.minimum(d[:, into], np.minimum.reduceat(d[:, s] + w, first, axis=1))
+            if not (new < d[:, into]).any():
+                break
+            d[:, into] = new
+    return out
+
+
 def geodesic_distance(edges: DataFrame, directed: bool = False, unweighted: bool = False) -> DataFrame:
     """(cloud_id, src, dst, w) of the reachable ordered pairs: all shortest paths of each graph, one graph a group."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.r_[pdf["src"], pdf["dst"]])
         s, t = np.searchsorted(ids, pdf["src"]), np.searchsorted(ids, pdf["dst"])
-        d = np.full((len(ids), len(ids)), np.inf)
         w = np.ones(len(pdf)) if unweighted else pdf["w"].to_numpy(float)
-        np.minimum.at(d, (s, t), w)
         if not directed:
-            d = np.minimum(d, d.T)
-        np.fill_diagonal(d, 0)
-        for k in range(len(ids)):
-            np.minimum(d, d[:, k, None] + d[None, k], out=d)
+            s, t, w = np.r_[s, t], np.r_[t, s], np.r_[w, w]
+        d = shortest_paths(len(ids), s, t, w)
         i, j = np.nonzero(np.isfinite(d))
         return pd.DataFrame({"cloud_id": pdf["cloud_id"].iloc[0], "src": ids[i].astype("int32"), "dst": ids[j].astype("int32"), "w": d[i, j]})
 

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from morsefield.functions import complexes as cx
 from morsefield.functions import matching
 from morsefield.functions.params import Interval, validate
-from morsefield.operators import mapper
+from morsefield.operators import graphs, mapper
 
 CLOUDS = st.lists(st.tuples(st.floats(-5, 5), st.floats(-5, 5)), min_size=3, max_size=7, unique=True).map(lambda p: np.round(np.array(p), 3))
 
@@ -176,3 +176,15 @@ def test_components_of_pixels():
         img = rng.integers(0, 6, size=(rng.integers(1, 6), rng.integers(1, 6)) if k % 3 else (3, 2, 4)).astype(float)
         wrap = tuple(bool(x) for x in rng.integers(0, 2, img.ndim)) if k % 2 and min(img.shape) > 2 else None
         assert _bars(cx.pixel_components(img, wrap), 0) == _bars([p for p in cx.persistence(cx.cubical_complex(img, wrap)) if p[0] == 0], 0)
+
+
+def test_shortest_paths_of_sparse_and_dense_graphs():
+    rng = np.random.default_rng(23)
+    for n, m in ((1, 0), (5, 0), (40, 60), (300, 700), (12, 100), (30, 112)):
+        s, t, w = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 9, m).astype(float)
+        want = np.full((n, n), np.inf)
+        np.minimum.at(want, (s, t), w)
+        np.fill_diagonal(want, 0)
+        for k in range(n):
+            want = np.minimum(want, want[:, k, None] + want[None, k])
+        assert np.array_equal(graphs.shortest_paths(n, s, t, w), want)
