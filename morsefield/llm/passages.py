@@ -3,7 +3,8 @@
 A window is ``words`` words in a row. Of the grams of ``GRAM`` words in a window the one of least hash is its anchor, so equal
 windows have equal anchors; successive windows of one anchor are a stretch. A stretch whose windows are all found in another
 document is seen by the stretch's hash alone. Of the other stretches only those whose anchor has several kinds of stretches
-are compared window by window, one stretch of each kind, by the window hashes that were written with them.
+are compared window by window, one stretch of each kind: a second pass over the texts gives the window hashes of these alone,
+so that none are kept of all the others.
 
 Defined results. Words are ``[^\\x20\\x09-\\x0D]+`` of the text as it is; null text has none. Repeats within one
 document are not counted, nor between rows of the same doc_id and text. An empty table gives no rows.
@@ -71,7 +72,10 @@ def word_stretches(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray,
     return owner[w[s]], gram[at], whole, e - s, window.astype("<u4")
 
 
-def _all_stretches(docs: DataFrame, words: int) -> DataFrame:
+def _all_stretches(docs: DataFrame, words: int, with_windows: bool) -> DataFrame:
+    """(key, anchor, whole) of all stretches, and their window hashes of 4 bytes one after the other."""
+    names = ["key", "anchor", "whole", "windows"][: 3 + with_windows]
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
             for k in range(0, whole_batch.num_rows, 64):
@@ -82,24 +86,25 @@ def _all_stretches(docs: DataFrame, words: int) -> DataFrame:
                 if len(owner):
                     ends = np.concatenate([[0], np.cumsum(n) * 4]).astype(np.int32)
                     windows = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(window.tobytes())])
-                    yield pa.RecordBatch.from_arrays([signed(keys[owner]), signed(anchor), signed(whole), windows], names=["key", "anchor", "whole", "windows"])
+                    yield pa.RecordBatch.from_arrays([signed(keys[owner]), signed(anchor), signed(whole), windows][: len(names)], names=names)
 
-    return document_rows(docs).mapInArrow(lean(work), "key long, anchor long, whole long, windows binary")
+    return document_rows(docs).mapInArrow(lean(work), "key long, anchor long, whole long" + ", windows binary" * with_windows)
 
 
 def shared_stretches(docs: DataFrame, *, words: int = WORDS) -> DataFrame:
     """(key, n_shared): for the documents that share a passage of ``words`` words with another, the stretches that hold one."""
-    every = cut(_all_stretches(docs, words), "word-stretches")
+    every = cut(_all_stretches(docs, words, False), "word-stretches")
     ends = every.groupBy("anchor", "whole").agg(F.min("key").alias("a"), F.max("key").alias("z"))
     kinds = cut(ends.select("anchor", "whole", (F.col("a") != F.col("z")).alias("twice")), "word-kinds")
     open_ = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("d"), F.min("twice").alias("all")).filter("d > 1 and not all").select("anchor")
     open_ = cut(open_, "word-anchors")
     # of each kind with such an anchor one stretch, with its windows
-    some = every.join(small(open_, MANY_ANCHORS), "anchor", "left_semi")
+    some = _all_stretches(docs, words, True).join(small(open_, MANY_ANCHORS), "anchor", "left_semi")
     some = some.groupBy("anchor", "whole").agg(F.min(F.struct("key", "windows")).alias("o")).select("anchor", "whole", "o.key", "o.windows")
+    some = cut(some, "word-windows")
     place = F.explode(F.sequence(F.lit(0), (F.octet_length("windows") / 4 - 1).cast("int")))
-    windows = cut(some.select("anchor", "whole", "key", "windows", place.alias("i")).select("anchor", "whole", "key", F.substring("windows", 4 * F.col("i") + 1, F.lit(4)).alias("w")), "word-windows")
+    windows = some.select("anchor", "whole", "key", "windows", place.alias("i")).select("anchor", "whole", "key", F.substring("windows", 4 * F.col("i") + 1, F.lit(4)).alias("w"))
     both = windows.groupBy("anchor", "w").agg(F.min("key").alias("a"), F.max("key").alias("z")).filter("a <> z").select("anchor", "w")
-    met = windows.join(both, ["anchor", "w"], "left_semi").select("anchor", "whole")
+    met = windows.select("anchor", "whole", "w").join(both, ["anchor", "w"], "left_semi").select("anchor", "whole")
     marked = cut(kinds.filter("twice").select("anchor", "whole").unionByName(met).distinct(), "word-marks")
     return every.join(marked, ["anchor", "whole"], "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n_shared"))

@@ -309,15 +309,15 @@ def repeat_report(docs: DataFrame, *, length: int = LENGTH, kept: bool = False,
 
     With words also n_shared (stretches with a passage of so many words that another document has) and shares_passage.
     """
-    with Scratch(docs.sparkSession) as own:
-        by_key = repeated_spans(docs, length=length)
-        if words:
-            shared = shared_stretches(docs, words=words).select("key", F.lit(None).cast("array<struct<from:long,to:long>>").alias("spans"), "n_shared")
-            by_key = by_key.select("key", F.col("spans").cast("array<struct<from:long,to:long>>").alias("spans"), F.lit(None).cast("long").alias("n_shared")).unionByName(shared)
-            by_key = by_key.groupBy("key").agg(F.first("spans", ignorenulls=True).alias("spans"), F.max("n_shared").alias("n_shared"))
-        else:
-            by_key = by_key.withColumn("n_shared", F.lit(None).cast("long"))
-        spans = own.keep(cut(by_key, "spans"))
+    spark = docs.sparkSession
+    with Scratch(spark) as own:
+        spans = own.keep(cut(repeated_spans(docs, length=length), "spans"))
+    if words:
+        with Scratch(spark) as own:
+            shared = own.keep(cut(shared_stretches(docs, words=words), "shared"))
+        spans = spans.join(shared, "key", "full")
+    else:
+        spans = spans.withColumn("n_shared", F.lit(None).cast("long"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
