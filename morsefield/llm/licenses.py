@@ -30,18 +30,89 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _AZ = str.maketrans(UPPER, LOWER)
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Short forms of public licences and their notices.
+#: Wording of public licences. Shared clauses first.
+_COPYRIGHT = "[[copyright [[c]] {{16}} [[all rights reserved]]]]"
+_AS_IS_SOFTWARE = (
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of "
+    "merchantability fitness for a particular purpose and noninfringement in no event shall {{the authors or copyright holders|the copyright holders|the authors}} be liable for any claim "
+    "damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+_AS_IS_BSD = (
+    "this software is provided by {{12}} as is and any express or implied warranties including but not limited to the implied warranties of "
+    "merchantability and fitness for a particular purpose are disclaimed in no event shall {{12}} be liable for any direct indirect incidental special "
+    "exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+    "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software "
+    "even if advised of the possibility of such damage"
+)
+_AS_IS_ISC = (
+    "the software is provided as is and {{12}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+    "in no event shall {{12}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+    "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+)
+_BSD_GRANT = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+_BSD_SOURCE = "[[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+_BSD_BINARY = "[[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_ADVERT = "3 all advertising materials mentioning features or use of this software must display the following acknowledgement this product includes software developed by {{16}}"
+_BSD_NAMES = "[[{{3|4}}]] neither the name of {{12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_GPL_WARRANTY = (
+    "is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose "
+    "see the gnu {{general|lesser general|affero general}} public license for more details "
+    "you should have received a copy of the gnu {{general|lesser general|affero general}} public license along with this {{program|library|software}} "
+    "{{if not see [[http|https]] www gnu org licenses|if not write to the free software foundation inc {{12}} usa}}"
+)
+
+#: Whole wordings (-text) and the notices by which files refer to licences (-notice).
 TEMPLATES = {
+    "mit-text": _COPYRIGHT
+    + " permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+    "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+    "subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software " + _AS_IS_SOFTWARE,
+    "mit-0-text": _COPYRIGHT
+    + " permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+    "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so " + _AS_IS_SOFTWARE,
+    "isc-text": _COPYRIGHT
+    + " permission to use copy modify and {{or|and or}} distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies " + _AS_IS_ISC,
+    "0bsd-text": _COPYRIGHT + " permission to use copy modify and {{or|and or}} distribute this software for any purpose with or without fee is hereby granted " + _AS_IS_ISC,
+    "bsd-2-text": " ".join((_COPYRIGHT, _BSD_GRANT, _BSD_SOURCE, _BSD_BINARY, _AS_IS_BSD)),
+    "bsd-3-text": " ".join((_COPYRIGHT, _BSD_GRANT, _BSD_SOURCE, _BSD_BINARY, _BSD_NAMES, _AS_IS_BSD)),
+    "bsd-4-text": " ".join((_COPYRIGHT, _BSD_GRANT, _BSD_SOURCE, _BSD_BINARY, _BSD_ADVERT, _BSD_NAMES, _AS_IS_BSD)),
+    "zlib-text": _COPYRIGHT
+    + " this software is provided as is without any express or implied warranty in no event will the {{author|authors}} be held liable for any damages arising from the use of this software "
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+    "[[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required "
+    "[[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software "
+    "[[3]] this notice may not be removed or altered from any source distribution",
+    "bsl-1-text": "boost software license version 1 0 august 17th 2003 permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software "
+    "to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following "
+    "the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part "
+    "and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor "
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose title and non infringement "
+    "in no event shall the copyright holders or anyone distributing the software be liable for any damages or other liability whether in contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "unlicense-text": "free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary "
+    "for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain "
+    "we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law "
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+    "in no event shall the authors be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software "
+    "[[for more information please refer to [[http|https]] unlicense org]]",
+    "wtfpl-text": "do what the fuck you want to public license [[version 2 december 2004]] [[copyright [[c]] {{16}}]] everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed "
+    "do what the fuck you want to public license terms and conditions for copying distribution and modification 0 you just do what the fuck you want to",
+    "apache-2-boilerplate": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at [[http|https]] www apache org licenses license 2 0 "
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+    "see the license for the specific language governing permissions and limitations under the license",
+    "gpl-boilerplate": "free software you can redistribute it and or modify it under the terms of {{the gnu general public license|version 2 of the gnu general public license}} as published by the free software foundation "
+    "[[{{either version {{2|3}} of the license or [[at your option]] any later version|version {{2|3}} of the license}}]] {{4}} " + _GPL_WARRANTY,
+    "lgpl-boilerplate": "free software you can redistribute it and or modify it under the terms of the gnu {{lesser|library}} general public license as published by the free software foundation "
+    "either version {{2|2 1|3}} of the license or [[at your option]] any later version this {{program|library|file}} " + _GPL_WARRANTY,
+    "agpl-boilerplate": "free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation "
+    "either version 3 of the license or [[at your option]] any later version this {{program|file}} " + _GPL_WARRANTY,
+    "mpl-2-boilerplate": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at [[http|https]] mozilla org mpl 2 0",
     "mit-notice": "licensed under the mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
-    "apache-2-notice": "licensed under the apache license version 2 [[0]] [[the license you may not use this file except in compliance with the license]]",
-    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "isc-text": "permission to use copy modify and {{or|and or}} distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "apache-2-notice": "licensed under the apache license version 2 [[0]]",
+    "bsd-notice": "licensed under the {{2 clause|3 clause|new|modified|simplified|}} bsd license",
     "gpl-notice": "[[this {{work|program|file}} is]] licensed under the gnu [[lesser|affero]] general public license version {{2|3|2 1}}",
-    "gpl-free-software": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation [[either version {{1}} of the license or [[at your option]] any later version]]",
-    "mpl-2-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "cc-by-nc-notice": "licensed under cc by nc {{2|3|4}} 0",
-    "cc-by-notice": "licensed under [[a]] [[the]] creative commons attribution {{4}} license",
+    "cc-by-notice": "licensed under [[a]] [[the]] creative commons attribution [[4 0 international]] license",
+    "cc0-notice": "to the extent possible under law {{12}} {{has|have}} waived all copyright and related or neighboring rights to {{12}}",
     "all-rights-reserved": "copyright [[c]] {{12}} all rights reserved",
 }
 

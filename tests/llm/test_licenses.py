@@ -1,3 +1,6 @@
+import random
+import re
+
 import brute
 import pytest
 
@@ -43,3 +46,52 @@ def test_edges(spark):
     assert out[None, 3].base_labels == "cc-by-nc" and out[None, 3].score == 0.8
     assert out[5, 5].n_base == 1
     assert licenses.license_report(df.limit(0)).collect() == []
+
+
+def as_regex(template):
+    """The template as a pattern over words that each end in a space."""
+    out = re.sub(r"\{\{(\d+)\}\}", lambda m: f"\x01{m[1]}\x02", template)
+    parts = re.findall(r"\x01\d+\x02|\[\[|\]\]|\{\{|\}\}|\||[^\s\[\]{}|\x01\x02]+", out)
+    say = {"[[": "(?:", "]]": ")?", "{{": "(?:", "}}": ")", "|": "|"}
+    return re.compile("".join(f"(?:[^ ]+ ){{0,{p[1:-1]}}}" if p[0] == "\x01" else say.get(p, re.escape(p) + " ") for p in parts))
+
+
+def spelled(template, rng):
+    """Some wording that the template allows."""
+    t = re.sub(r"\{\{(\d+)\}\}", lambda m: " ".join(f"n{rng.randrange(99)}" for _ in range(rng.randrange(int(m[1]) + 1))), template)
+    while True:
+        inner = re.search(r"\[\[((?:(?!\[\[|\{\{|\]\]|\}\}).)*)\]\]|\{\{((?:(?!\[\[|\{\{|\]\]|\}\}).)*)\}\}", t)
+        if not inner:
+            return t.split()
+        own = rng.choice((inner[1] if inner[1] is not None else inner[2]).split("|"))
+        t = t[: inner.start()] + " " + (own if inner[1] is None or rng.random() < 0.5 else "") + " " + t[inner.end() :]
+
+
+@pytest.mark.parametrize("label", licenses.TEMPLATES)
+def test_templates_against_a_regex(label):
+    """Wordings the template allows, and the same with a word changed, dropped or added, against a backtracking matcher."""
+    rng, source = random.Random(label), licenses.TEMPLATES[label]
+    automaton, pattern = licenses.compile_template(label, source), as_regex(source)
+    automaton.first_words()
+    accepted = refused = 0
+    for k in range(60):
+        words = spelled(source, rng)
+        if k % 2:
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice(([], ["changed"], [words[at], "added"]))
+        want = bool(pattern.fullmatch("".join(w + " " for w in words)))
+        assert (bool(words) and automaton.longest(words, 0) == len(words)) == want, words
+        assert want or k % 2
+        accepted += want
+        refused += not want
+        if want:
+            assert label in licenses.Scanner().scan("Preface: " + " ".join(words).upper() + ". End")[5].split(",")
+    assert accepted >= 30 and (refused or label in ("all-rights-reserved",))
+
+
+def test_variants_are_told_apart():
+    three = licenses.TEMPLATES["bsd-3-text"]
+    words = " ".join(spelled(three, random.Random(1)))
+    assert "bsd-3-text" in licenses.Scanner().scan(words)[5] and "bsd-2-text" not in licenses.Scanner().scan(words)[5]
+    cut = " ".join(words.split()[:-3])
+    assert "bsd" not in licenses.Scanner().scan(cut)[5]
