@@ -12,7 +12,7 @@ there are; the number of shards grows with the lines. Shards are written under a
 retried or speculative task leaves the same bytes.
 
 Defined results. Null text counts as one empty line, and stays null where texts are handed on. Blank lines have an
-empty key and always stay. Rows that repeat a doc_id, or have none, count as documents of their own. A document loses
+empty key and always stay. Rows are documents: those that repeat a doc_id, or have none, count one by one, here and in the SQL. A document loses
 every line whose key is found in at least ``least`` documents; if it loses all of them its text is empty. An empty
 table gives no rows. Other columns are ignored, or handed on unchanged by ``drop_common_lines``.
 """
@@ -33,7 +33,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER, WS, bounded_batches, cut, shared_dir, table
+from ._common import LOWER, UPPER, WS, bounded_batches, cut, lean, shared_dir, table
 
 LEAST = 10
 SHARD_KEYS = 200_000
@@ -94,13 +94,24 @@ class PerfectHash:
         return out
 
 
+def _slot_key(key: np.ndarray, print_: np.ndarray, seed: int) -> np.ndarray:
+    """64 bits of the 128 by which a line is placed; another seed parts those that agree."""
+    return _mix(key ^ _mix(print_, seed), seed + 1) if seed else key
+
+
 def pack_shard(key: np.ndarray, print_: np.ndarray, count: np.ndarray) -> bytes:
-    mph = PerfectHash.build(key)
-    at = mph.index(key)
-    prints, counts = np.empty(len(key), np.uint64), np.empty(len(key), np.uint32)
-    prints[at], counts[at] = print_, np.minimum(count, 2**32 - 1)
+    """The shard of distinct 128-bit hashes (key, print). Hashes that agree in ``key`` are placed by all their bits."""
+    seed = 0
+    while len(np.unique(slot := _slot_key(key, print_, seed))) < len(key):
+        seed += 1
+        if seed > 64:
+            raise ValueError("hashes are not distinct")
+    mph = PerfectHash.build(slot)
+    at = mph.index(slot)
+    prints, counts = np.empty((len(key), 2) if seed else len(key), np.uint64), np.empty(len(key), np.uint32)
+    prints[at], counts[at] = np.stack([key, print_], axis=1) if seed else print_, np.minimum(count, 2**32 - 1)
     out = io.BytesIO()
-    np.savez(out, prints=prints, counts=counts, sizes=np.array([len(b) for b in mph.levels], np.int64), bits=np.packbits(np.concatenate([*mph.levels, np.zeros(0, bool)])))
+    np.savez(out, seed=seed, prints=prints, counts=counts, sizes=np.array([len(b) for b in mph.levels], np.int64), bits=np.packbits(np.concatenate([*mph.levels, np.zeros(0, bool)])))
     return out.getvalue()
 
 
@@ -110,13 +121,14 @@ class Shard:
         sizes = z["sizes"]
         bits = np.unpackbits(z["bits"], count=int(sizes.sum())).astype(bool)
         self.mph = PerfectHash(np.split(bits, np.cumsum(sizes)[:-1]) if len(sizes) else [])
-        self.prints, self.counts = z["prints"], z["counts"]
+        self.seed, self.prints, self.counts = int(z["seed"]), z["prints"], z["counts"]
 
     def count(self, key: np.ndarray, print_: np.ndarray) -> np.ndarray:
         """Documents of each hash; 0 for those that the index doesn't hold."""
-        at = self.mph.index(key)
+        at = self.mph.index(_slot_key(key, print_, self.seed))
         ok = at >= 0
-        ok[ok] = self.prints[at[ok]] == print_[ok]
+        found = self.prints[at[ok]]
+        ok[ok] = (found == np.stack([key[ok], print_[ok]], axis=1)).all(axis=1) if self.seed else found == print_[ok]
         out = np.zeros(len(key), np.int64)
         out[ok] = self.counts[at[ok]]
         return out
@@ -148,7 +160,7 @@ def build_index(docs: DataFrame, *, least: int = LEAST, shard_keys: int = SHARD_
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(p.view(np.int64))], names=["key", "print"])
 
     bounded_batches(docs.sparkSession)
-    lines = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(hashes, "key long, print long")
+    lines = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(lean(hashes), "key long, print long")
     common = lines.groupBy("key", "print").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") >= least)
     common = cut(common, "lines")
     n = common.count()
@@ -160,7 +172,7 @@ def build_index(docs: DataFrame, *, least: int = LEAST, shard_keys: int = SHARD_
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         fs, root = _open(base)
         fs.create_dir(root, recursive=True)
-        pdf = pdf.sort_values(["key", "print"]).drop_duplicates("key")
+        pdf = pdf.sort_values(["key", "print"])
         data = pack_shard(pdf["key"].to_numpy().view(np.uint64), pdf["print"].to_numpy().view(np.uint64), pdf["docs"].to_numpy())
         name = f"{root}/{int(pdf['shard'].iloc[0])}"
         own = f"{name}.{hashlib.sha1(uuid.uuid4().bytes).hexdigest()}"
@@ -202,7 +214,7 @@ def probe(base: str, shards: int, least: int, lines: list[list[bytes]]) -> list[
 
 
 #: Bytes of text that a task gathers before it goes over the shards once.
-GATHER = 8 << 20
+GATHER = 4 << 20
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -229,7 +241,7 @@ def line_report(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
             yield from pa.table({"doc_id": t["doc_id"], "n_lines": pa.array([len(x) for x in lines], pa.int64()), "n_dropped": pa.array([int(g.sum()) for g in gone], pa.int64()), "kept_sha256": pa.array(kept, pa.string())}).to_batches()
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(judge, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return rows.mapInArrow(lean(judge), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def drop_common_lines(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
@@ -250,7 +262,7 @@ def drop_common_lines(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
                 t = t.set_column(names.index("n_chars"), "n_chars", pa.array([o if k is None or not g.any() else len(k) for o, k, g in zip(old, kept, gone, strict=True)], t["n_chars"].type))
             yield from t.to_batches()
 
-    return docs.mapInArrow(take, schema)
+    return docs.mapInArrow(lean(take), schema)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,17 +270,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = """
-WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+l AS (
+  SELECT r, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
-  FROM documents),
+  FROM d),
 k AS (
-  SELECT doc_id, i, line,
+  SELECT r, doc_id, i, line,
          translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM l),
-c AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
-m AS (SELECT k.doc_id, k.i, k.line, c.key IS NOT NULL AS gone FROM k LEFT JOIN c USING (key))
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+c AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10),
+m AS (SELECT k.r, k.doc_id, k.i, k.line, c.key IS NOT NULL AS gone FROM k LEFT JOIN c USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY r
 """

@@ -6,6 +6,7 @@ import random
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from morsefield.llm import components, exact_dedup, line_dedup, mixing, near_dedup, quality_rules, repeats
 
@@ -51,6 +52,8 @@ def test_quality_statistics_and_edges(spark, docs):
     for r in quality_rules.quality_report(frame(spark, [(i, t, "a") for i, t in enumerate(texts)]), []).collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute.op2_base(texts[r.doc_id])
     assert quality_rules.quality_report(frame(spark, ODD).limit(0), []).collect() == []
+    clash = frame(spark, ODD).withColumn("_quality_statistics_words", F.lit(1)).withColumn("_s", F.lit(2))
+    assert quality_rules.keep_by_quality(clash, []).columns == clash.columns
     kept = quality_rules.keep_by_quality(frame(spark, [*ODD, (9, "a b c d e f g h i j", "z")]), [])
     assert [(r.doc_id, r["kept"], r["h"]) for r in kept.collect()] == [(9, 3, 1)]
 
@@ -68,6 +71,25 @@ def test_rules_hold_out(spark):
     assert quality_rules.learn(d, labels.filter("quality = 1")) == []
 
 
+def test_list_of_conjunctions_on_given_documents(spark):
+    """Labels made from two conjunctions over the statistics of the given documents, a few of them wrong."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    stats = quality_rules.quality_report(d, []).filter("not base_failed").withColumn("wl", F.col("word_chars") / F.col("n_words"))
+    wl, n = stats.approxQuantile(["wl", "n_words"], [0.5], 0.0)
+    one, two = (F.col("wl") > wl[0]) & (F.col("n_words") > n[0]), (F.col("n_symbols") > 0.02 * F.col("word_chars")) & (F.col("n_words") <= n[0])
+    noise = F.pmod(F.xxhash64("doc_id"), F.lit(50)) == 0
+    labels = stats.select("doc_id", F.when((one | two) != noise, 0).otherwise(1).alias("quality"), F.lit(0).alias("toxic"))
+    rules = quality_rules.learn(d, labels, min_precision=0.8)
+    assert len(rules) >= 2 and any(len(r.conditions) >= 2 for r in rules) and all(len(r.conditions) <= 4 for r in rules)
+    judged = quality_rules.quality_report(d, rules).join(labels, "doc_id").filter("not base_failed")
+    right = judged.filter((F.col("kept") & (F.col("quality") == 1)) | (~F.col("kept") & (F.col("quality") == 0))).count()
+    assert right >= 0.88 * judged.count()
+    # conditions that only fit the noise of the growing part are pruned: without pruning lists are longer
+    assert sum(len(r.conditions) for r in rules) < 4 * len(rules)
+    used = {r.rule for r in judged.select("rule").distinct().collect()}
+    assert used >= {None, 0, 1}
+
+
 def test_covering_finds_a_conjunction():
     grid = np.array([[a, b, 0, 0, 0] for a in range(4) for b in range(4)])
     bad = (grid[:, 0] > 1) & (grid[:, 1] <= 0)
@@ -100,6 +122,31 @@ def test_perfect_hash():
     assert not shard.count(other, other).any()
 
 
+def test_hashes_that_agree_in_half_of_their_bits():
+    rng = np.random.default_rng(2)
+    keys = rng.integers(0, 2**63, 1000, dtype=np.uint64)
+    keys[500:600] = keys[:100]
+    prints = rng.integers(0, 2**63, 1000, dtype=np.uint64)
+    shard = line_dedup.Shard(line_dedup.pack_shard(keys, prints, np.arange(1, 1001)))
+    assert (shard.count(keys, prints) == np.arange(1, 1001)).all()
+    assert not shard.count(keys, prints + np.uint64(1)).any() and not shard.count(prints, keys).any()
+    with pytest.raises(ValueError):
+        line_dedup.pack_shard(keys[[1, 1]], prints[[1, 1]], np.ones(2))
+
+
+def test_line_sql_counts_rows(spark):
+    """Ten rows of one doc_id are ten documents, for the operator and for its SQL."""
+    import duckdb
+
+    rows = [(1, f"shared\nown {i}") for i in range(10)] + [(2, None), (3, " \n"), (4, "shared")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got) == sorted(con.execute(line_dedup.OP10_SQL).fetchall())
+    assert sum(r.n_dropped for r in got) == 11
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(5, 5)]
@@ -159,6 +206,8 @@ def test_mixing(spark):
     again = {(r.doc_id, r.taken) for r in mixing.mix_report(frame(spark, rows[::-1])).collect()}
     assert again == {(r.doc_id, r.taken) for r in mixing.mix_report(frame(spark, rows)).collect()}
     assert mixing.mix_report(frame(spark, rows).limit(0)).collect() == []
+    clash = frame(spark, rows).withColumn("_mix_passes", F.lit(9)).withColumn("_MIX_copy", F.lit(9))
+    assert mixing.mix(clash).columns == clash.columns and mixing.mix(clash).count() == mixing.mix(frame(spark, rows)).count()
     mixed = mixing.mix(frame(spark, rows))
     assert mixed.columns == frame(spark, rows).columns
     assert mixed.count() == sum(r.taken // r.size for r in mixing.mix_report(frame(spark, rows)).collect())
