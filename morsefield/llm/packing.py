@@ -20,9 +20,11 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import json
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -41,7 +43,7 @@ _PLAIN = re.compile("[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]*")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 #: Pre-tokens that an encoder remembers, and characters of a long text that it encodes at a time.
-CACHE = 60_000
+CACHE = 120_000
 PART = 1 << 15
 
 
@@ -67,6 +69,7 @@ class Encoder:
             ranks.pop(t.encode(), None)
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.bpe = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}, explicit_n_vocab=None)
+        self.piece = self.bpe._core_bpe.encode_single_piece  # of one pre-token, without splitting it again
         self.cache: dict[str, bytes] = {}
 
     def _slow(self, text: str) -> bytes:
@@ -92,13 +95,13 @@ class Encoder:
         cache = self.cache
         found = list(map(cache.get, parts))
         if None in found:
-            if len(cache) > CACHE:
-                cache.clear()
+            if len(cache) > CACHE:  # the first half stays: frequent pre-tokens come early
+                cache = self.cache = dict(itertools.islice(cache.items(), CACHE // 2))
             for k, x in enumerate(found):
                 if x is None:
                     p = parts[k]
                     if (x := cache.get(p)) is None:
-                        x = np.array(self.bpe.encode_ordinary(p), "<u4").tobytes()
+                        x = array("I", self.piece(p.encode())).tobytes()
                         if len(p) <= 40:
                             cache[p] = x
                     found[k] = x
