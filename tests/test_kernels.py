@@ -188,3 +188,15 @@ def test_shortest_paths_of_sparse_and_dense_graphs():
         for k in range(n):
             want = np.minimum(want, want[:, k, None] + want[None, k])
         assert np.array_equal(graphs.shortest_paths(n, s, t, w), want)
+
+
+def test_tables_of_matchings():
+    """Diagrams of few points are taken together, others pair by pair; either way each pair has the distance of its own matching."""
+    rng = np.random.default_rng(5)
+    sizes = [0, 1, 2, 2, 3, 1, 0, 3, 5]
+    pts = np.sort(rng.integers(0, 9, (sum(sizes), 2)).astype(float), axis=1)
+    ends = np.r_[0, np.cumsum(sizes)]
+    own = [[tuple(q) for q in pts[a:b]] for a, b in zip(ends, ends[1:], strict=False)]
+    for metric, f in (("bottleneck", matching.bottleneck), ("wasserstein", lambda a, b: matching.wasserstein(a, b, 3.0))):
+        got = matching.table(pts, ends, pts, ends, metric, 3.0)
+        np.testing.assert_allclose(got, [[f(a, b) for b in own] for a in own], atol=1e-9)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from morsefield.functions import complexes as cx
+from morsefield.functions import matching
 from morsefield.operators import curves, graphs, homology, images, mapper, plotdata
 from morsefield.operators import diagrams as dg
 from morsefield.operators import timeseries as ts
@@ -244,3 +245,22 @@ def test_sparse_filtration_leaves_edges_out():
     x = rng.normal(size=(10, 2))
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     assert len(cx.sparse_rips(d, 0.9, 1)) < len(cx.flag_complex(d, 1))
+
+
+def test_distances_in_blocks(spark, monkeypatch):
+    """Diagrams meet in blocks: every pair once and both ways, whatever the number of blocks, also where one diagram is empty."""
+    monkeypatch.setattr(dg, "BLOCK_ROWS", 4)
+    rows = [(s, h, float(s % 5), float(s % 5 + 1 + s % 3)) for s in range(23) for h in (0, 1) if h == 0 or s != 7]
+    dgm = spark.createDataFrame(rows, "sample_id long, hdim int, birth double, death double")
+    own = {(s, h): [(b, d)] for s, h, b, d in rows}
+    for metric in ("bottleneck", "wasserstein"):
+        got = dg.distances(dgm, metric).collect()
+        assert len(got) == len({(r.i, r.j, r.hdim) for r in got}) == 2 * 23 * 23
+        f = getattr(matching, metric)
+        assert all(r.d == pytest.approx(f(own.get((r.i, r.hdim), []), own.get((r.j, r.hdim), []))) for r in got)
+    ys = {(r.sample_id, r.hdim): (r.ys, r.cell) for r in dg.vectors(dgm, "landscape", n_bins=6, n_layers=2).collect()}
+    got = dg.distances(dgm, "landscape", n_bins=6, n_layers=2).collect()
+    assert len(got) == len({(r.i, r.j, r.hdim) for r in got}) == 2 * 23 * 23
+    for r in got:
+        (x, cell), (y, _) = ys[r.i, r.hdim], ys[r.j, r.hdim]
+        assert r.d == pytest.approx(np.sqrt(np.sum(np.subtract(x, y) ** 2) * cell))
