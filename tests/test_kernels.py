@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -200,3 +201,41 @@ def test_tables_of_matchings():
     for metric, f in (("bottleneck", matching.bottleneck), ("wasserstein", lambda a, b: matching.wasserstein(a, b, 3.0))):
         got = matching.table(pts, ends, pts, ends, metric, 3.0)
         np.testing.assert_allclose(got, [[f(a, b) for b in own] for a in own], atol=1e-9)
+
+
+def plain_dbscan(d, eps, least, w):
+    near = d <= eps
+    core, labels, k = (near * w[None]).sum(1) >= least, np.full(len(d), -1), 0
+    for i in range(len(d)):
+        if core[i] and labels[i] < 0:
+            todo, labels[i] = [i], k
+            while todo:
+                for v in np.flatnonzero(near[todo.pop()] & (labels < 0)):
+                    labels[v] = k
+                    todo += [v] * bool(core[v])
+            k += 1
+    return labels
+
+
+@given(st.integers(0, 10**6), st.sampled_from([0.0, 1.0, 2.0, 3.0]))
+@settings(max_examples=40, deadline=None)
+def test_clusterings_of_grid_points(seed, eps):
+    """Points of a grid: many distances equal eps, and many points are equal."""
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 40, (120, 2)).astype(float)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for w in (np.ones(len(x)), rng.integers(-1, 3, len(x)).astype(float)):
+        want = plain_dbscan(d, eps, 3, w).tolist()
+        assert mapper.dbscan(x, eps, 3, weights=w).tolist() == want
+        assert mapper.dbscan(d, eps, 3, "precomputed", weights=w).tolist() == want
+    assert mapper.linkage_tree(x) == mapper.linkage_tree(d, affinity="precomputed")
+
+
+def test_clusterings_in_linear_memory():
+    """A set of 3,000 points of 64 coordinates: their differences take 4.6 GB, their distances 72 MB."""
+    x = np.random.default_rng(3).normal(size=(3000, 64)) / 8
+    tracemalloc.start()
+    for f in (lambda: mapper.dbscan(x, 1.35, 3), lambda: mapper.first_simple_gap(x), lambda: mapper.first_histogram_gap(x)):
+        f()
+        assert tracemalloc.get_traced_memory()[1] < 64e6
+    tracemalloc.stop()
