@@ -264,3 +264,29 @@ def test_distances_in_blocks(spark, monkeypatch):
     for r in got:
         (x, cell), (y, _) = ys[r.i, r.hdim], ys[r.j, r.hdim]
         assert r.d == pytest.approx(np.sqrt(np.sum(np.subtract(x, y) ** 2) * cell))
+
+
+def test_curves_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(dg, "STEP", 64)
+    rng = np.random.default_rng(3)
+    points = {i: np.sort(rng.random((n, 2)), axis=1) for i, n in enumerate([1, 40, 3, 2, 7, 1])}
+    rows = [(i, 0, float(b), float(d)) for i, p in points.items() for b, d in p] + [(6, 0, 0.2, None), (6, 0, 0.1, 0.8), (7, 1, 0.5, 0.5)]
+    dgm = spark.createDataFrame(rows, "sample_id long, hdim int, birth double, death double")
+    ends = [x for r in rows if r[1] == 0 for x in r[2:] if x is not None]
+    t = min(ends) + np.arange(9) * ((max(ends) - min(ends)) / 8)
+    for metric, params in (("betti", {}), ("landscape", {"n_layers": 2}), ("silhouette", {"power": 10.0})):
+        v = dg.vectors(dgm, metric, n_bins=9, **params)
+        # evaluated as built-in lambdas, the weights of a diagram were computed anew for each bin and point
+        assert "MapInArrow" in v._jdf.queryExecution().executedPlan().toString()
+        got = {(r.sample_id, r.hdim): r.ys for r in v.collect()}
+        assert len(got) == 16 and not any(got[7, 0])
+        for i, p in points.items():
+            b, d = p[:, :1], p[:, 1:]
+            tents = np.maximum(0, (d - b) / 2 - abs(t - (b + d) / 2))
+            layers = np.zeros((2, 9))
+            layers[: len(p)] = -np.sort(-tents, axis=0)[:2]
+            w = ((d - b) / (d - b).max()) ** 10
+            expected = {"betti": ((b <= t) & (t < d)).sum(0), "landscape": layers.ravel(), "silhouette": (w * tents).sum(0) / w.sum()}[metric]
+            assert np.allclose(got[i, 0], expected), (metric, i)
+        lone = np.maximum(0, 0.35 - abs(t - 0.45))
+        assert got[6, 0] == [None] * 9 if metric == "silhouette" else np.allclose(got[6, 0][:9], (0.1 <= t) & (t < 0.8) if metric == "betti" else lone)
