@@ -290,3 +290,34 @@ def test_curves_in_blocks(spark, monkeypatch):
             assert np.allclose(got[i, 0], expected), (metric, i)
         lone = np.maximum(0, 0.35 - abs(t - 0.45))
         assert got[6, 0] == [None] * 9 if metric == "silhouette" else np.allclose(got[6, 0][:9], (0.1 <= t) & (t < 0.8) if metric == "betti" else lone)
+
+
+def test_false_neighbours_in_rows(spark, monkeypatch):
+    """Counts of one kernel a series, its rows of distances a few at a time, against the definition; with nulls and a NaN."""
+    monkeypatch.setattr(ts, "STEP", 16)
+    rng = np.random.default_rng(5)
+    series = {s: [float(x) for x in np.round(np.cumsum(rng.normal(size=n)), 1)] for s, n in enumerate([1, 3, 30, 41, 12])}
+    series[3][7], series[4][5] = None, math.nan
+    df = spark.createDataFrame([(s, t, x) for s, v in series.items() for t, x in enumerate(v)] + [(None, 0, 1.0)], "series_id long, t long, value double")
+    last = lambda x: (math.isnan(x), x)
+    for delay, stride in ((1, 1), (2, 1), (1, 3)):
+        out = ts.false_neighbours(df, delay, [3, 1, 2], stride)
+        assert "Join" not in out._jdf.queryExecution().executedPlan().toString()  # a series was joined with itself, pair by pair
+        got = {(r.series_id, r.dimension): r.n_false for r in out.collect()}
+        assert got.keys() == {(s, d) for s in series for d in (1, 2, 3)}
+        for s, v in series.items():
+            sd = float(np.std([x for x in v if x is not None]))
+            for d in (1, 2, 3):
+                n, m = len(v), (len(v) - 1 - (d - 1) * delay) // stride + 1
+                at = {m - 1 - (n - 1 - i) // stride: [v[i - k * delay] for k in range(d)] for i in range(n) if (n - 1 - i) % stride == 0 and i >= (d - 1) * delay}
+                at = {j: x for j, x in at.items() if None not in x}
+                near = {j: min((last(sum((a - b) ** 2 for a, b in zip(x, y, strict=True))), o) for o, y in at.items() if o != j) for j, x in at.items() if len(at) > 1}
+                count = 0
+                for j, ((_, sq), _) in near.items():
+                    if j + d * delay in near and not sq <= 0:
+                        a, b = v[n - m + j + d * delay], v[near[j + d * delay][1]]
+                        if a is not None and b is not None:
+                            gap = math.sqrt(sq)
+                            count += last(abs(a - b) / gap) > last(10.0) and last(2 * sd) > last(gap)
+                assert got[s, d] == count, (s, d, delay, stride)
+    assert sum(got.values()) > 0
