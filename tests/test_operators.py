@@ -321,3 +321,25 @@ def test_false_neighbours_in_rows(spark, monkeypatch):
                             count += last(abs(a - b) / gap) > last(10.0) and last(2 * sd) > last(gap)
                 assert got[s, d] == count, (s, d, delay, stride)
     assert sum(got.values()) > 0
+
+
+def test_distances_leave_in_strips(spark, monkeypatch):
+    """Tables of two blocks leave the worker as lists; nulls and zeros of the diagonal are kept, and so is rounding."""
+    from morsefield.plans.registry import r_many
+
+    monkeypatch.setattr(dg, "BLOCK_ROWS", 3)
+    rows = [(s, 0, float(s % 4), float(s % 4 + 1 + s % 3)) for s in range(8)] + [(8, 0, 0.5, None)]
+    dgm = spark.createDataFrame(rows, "sample_id long, hdim int, birth double, death double")
+    for other in (None, dgm):
+        out = dg.distances(dgm, "silhouette", n_bins=6, other=other)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "posexplode" in plan and "Union" not in plan
+        got = {(r.i, r.j): r.d for r in out.collect()}
+        assert len(got) == 81
+        assert all((d is None) == (8 in (i, j) and not (i == j and other is None)) for (i, j), d in got.items())
+        assert all(d == got[j, i] and (i != j or d == 0.0) for (i, j), d in got.items() if 8 not in (i, j))
+    x = [0.0, 0.000005, 1.25, 2.5, 1234.567895, 1e300, math.inf, 3.0000049]
+    numbers = spark.createDataFrame([(v,) for v in [*x, math.nan]], "v double")
+    assert [r.d for r in numbers.filter("v = v and v != double('NaN')").select(r_many("v", 5).alias("d")).collect()] == [0.0, 0.00001, 1.25, 2.5, 1234.56789, 1e300, math.inf, 3.0]  # as DuckDB's round; by decimal strings the fifth is 1234.5679
+    assert [r.d for r in numbers.select(r_many("v", 0).alias("d")).collect()][2:4] == [1.0, 3.0]
+    assert math.isnan(numbers.filter(F.isnan("v")).select(r_many("v", 5).alias("d")).first().d)
